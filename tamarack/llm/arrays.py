@@ -18,7 +18,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def _flags(c: str) -> int:
     return (
-        (c.isalnum() or c == "_") * WORD | c.isalpha() * LETTER | c.isdigit() * DIGIT | c.isupper() * UPPER | c.isspace() * SPACE
+        (c.isalnum() or c == "_") * WORD | c.isalpha() * LETTER | c.isdecimal() * DIGIT | c.isupper() * UPPER | c.isspace() * SPACE
     )
 
 

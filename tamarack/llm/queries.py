@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import pages
+from pyspark.sql import functions as F
+
+from tamarack.llm import mixing, pages, repeated_lines, repetition
 
 
 def table(spark, folder: str, name: str):
@@ -36,5 +38,70 @@ def p5_stats(spark, d):
     return pages.quality(pages.page_table(table(spark, d, "wet_documents"), want_curves=False)).select("rec_id", *pages.STATS, "rule")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_curves, p3_found, p5_found, p5_stats)}
-SQL: dict[str, str] = {}
+def p4_found(spark, d):
+    """rec_id, line_no of the lines repeated within a site."""
+    return repeated_lines.repeated_lines(table(spark, d, "wet_documents"))
+
+
+def p6_found(spark, d):
+    """rec_id of the repetitive records."""
+    return repetition.repetitive(table(spark, d, "wet_documents"))
+
+
+def p6_shares(spark, d):
+    """Every record's number of words and repeated share."""
+    return repetition.repetition(table(spark, d, "wet_documents")).select("rec_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
+
+
+def p9_found(spark, d):
+    """source of the targets that cannot be reached."""
+    return mixing.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark, d):
+    """Chosen documents with their copies."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    """Target and actual share of each source."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_curves, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p9_found, p9_mix, p9_shares)
+}
+
+_SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"
+_LINES = (
+    r"SELECT rec_id, site, i - 1 AS line_no, ls[i] AS raw, rtrim(trim(regexp_replace(regexp_replace(lower(ls[i]), '\d+', '0', 'g'), '[\s\x{a0}]+', ' ', 'g')), '.,:;!?… ') AS line "
+    "FROM (SELECT rec_id, site, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rec_id, " + _SITE + " AS site, string_split(text, chr(10)) AS ls FROM wet_documents WHERE text IS NOT NULL))"
+)
+_RUNS = (
+    r"WITH w AS (SELECT rec_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM (SELECT rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM wet_documents WHERE text IS NOT NULL)), "
+    "g AS (SELECT rec_id, i, row_number() OVER (PARTITION BY rec_id, array_to_string(ws[i:i+7], ' ') ORDER BY i) AS k FROM w), "
+    "c AS (SELECT DISTINCT rec_id, p FROM (SELECT rec_id, unnest(range(i, i + 8)) AS p FROM g WHERE k > 1)), "
+    "n AS (SELECT rec_id, count(*) AS c FROM c GROUP BY 1), "
+    r"t AS (SELECT rec_id, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), 0) AS n_words FROM wet_documents) "
+)
+_TOKENS = r"coalesce(len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: length(x) BETWEEN 2 AND 50)), 0)"
+_RATES = (
+    f"WITH s AS (SELECT doc_id, lower(trim(source, ' ')) AS source, {_TOKENS} AS tokens FROM documents), "
+    "o AS (SELECT source, sum(tokens) AS tokens FROM s GROUP BY 1), "
+    "m AS (SELECT lower(trim(source, ' ')) AS source, sum(target_weight) AS target_weight, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1), "
+    "r AS (SELECT m.source, target_weight, max_repeats, coalesce(tokens, 0) AS tokens, (SELECT sum(tokens) FROM s) AS total FROM m LEFT JOIN o USING (source)), "
+    "q AS (SELECT *, CASE WHEN tokens > 0 THEN least(target_weight * total / tokens, max_repeats::DOUBLE) ELSE 0 END AS rate FROM r), "
+    "d AS (SELECT doc_id, s.source, s.tokens, (floor(rate) + (('0x' || substr(md5('mix-1:' || doc_id), 1, 8))::UBIGINT / 4294967296.0 < rate - floor(rate))::INT)::INT AS copies FROM s JOIN q USING (source)) "
+)
+SQL: dict[str, str] = {
+    "p4_found": "WITH l AS (" + _LINES + r"), k AS (SELECT site, line FROM l WHERE regexp_matches(raw, '\p{L}') GROUP BY 1, 2 "
+    "HAVING count(DISTINCT rec_id) >= 5 AND count(DISTINCT rec_id) >= 0.04 * (SELECT count(*) FROM wet_documents w WHERE " + _SITE + " IS NOT DISTINCT FROM l.site)) "
+    r"SELECT l.rec_id, l.line_no::INT AS line_no FROM l JOIN k ON l.site IS NOT DISTINCT FROM k.site AND l.line = k.line WHERE regexp_matches(raw, '\p{L}')",
+    "p6_found": _RUNS + "SELECT t.rec_id FROM t JOIN n USING (rec_id) WHERE c * 5 >= n_words * 2",
+    "p6_shares": _RUNS + "SELECT t.rec_id, n_words::INT AS n_words, round(coalesce(c, 0) / greatest(n_words, 1), 6) AS repeated_share FROM t LEFT JOIN n USING (rec_id)",
+    "p9_found": _RATES + "SELECT source FROM q WHERE max_repeats * tokens < target_weight * total",
+    "p9_mix": _RATES + "SELECT doc_id, source, tokens, copies FROM d WHERE copies > 0",
+    "p9_shares": _RATES + "SELECT q.source, target_weight, tokens, round(rate, 6) AS rate, coalesce(g, 0)::BIGINT AS mixed_tokens, "
+    "round(coalesce(g, 0) / greatest(sum(coalesce(g, 0)) OVER (), 1), 6) AS actual_share FROM q LEFT JOIN (SELECT source, sum(tokens * copies) AS g FROM d GROUP BY 1) USING (source)",
+}
