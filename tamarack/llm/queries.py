@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarack.llm import mixing, pages, repeated_lines, repetition
+from tamarack.llm import forest, mixing, pages, repeated_lines, repetition
 
 
 def table(spark, folder: str, name: str):
@@ -23,6 +23,11 @@ def p1_curves(spark, d):
     )
 
 
+def p2_found(spark, d):
+    """rec_id_a, rec_id_b: b of a new batch repeats a."""
+    return forest.repeats(table(spark, d, "wet_documents"))
+
+
 def p3_found(spark, d):
     """rec_id, line_no of furniture lines."""
     return pages.body_cuts(table(spark, d, "wet_documents"))
@@ -70,7 +75,7 @@ def p9_shares(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p9_found, p9_mix, p9_shares)
+    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p9_found, p9_mix, p9_shares)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"
