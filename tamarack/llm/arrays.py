@@ -72,7 +72,7 @@ class TextBatch:
 
     def __init__(self, texts: list[str | None]):
         self.null = np.fromiter((t is None for t in texts), bool, len(texts))
-        texts = [t or "" for t in texts]
+        self.texts = texts = [t or "" for t in texts]
         self.n = len(texts)
         self.text = "\n".join(texts)
         self.size = np.fromiter(map(len, texts), np.int64, self.n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarack.llm import forest, mixing, pages, repeated_lines, repetition
+from tamarack.llm import forest, leakage, mixing, pages, repeated_lines, repetition
 
 
 def table(spark, folder: str, name: str):
@@ -58,6 +58,11 @@ def p6_shares(spark, d):
     return repetition.repetition(table(spark, d, "wet_documents")).select("rec_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
+def p8_found(spark, d):
+    """doc_id, item_id of leaked test items."""
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark, d):
     """source of the targets that cannot be reached."""
     return mixing.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -75,7 +80,7 @@ def p9_shares(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p9_found, p9_mix, p9_shares)
+    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p8_found, p9_found, p9_mix, p9_shares)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"
