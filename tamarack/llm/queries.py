@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarack.llm import forest, leakage, mixing, pages, repeated_lines, repetition
+from tamarack.llm import encoding, forest, leakage, mixing, pages, repeated_lines, repetition
 
 
 def table(spark, folder: str, name: str):
@@ -78,9 +78,19 @@ def p9_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark, d):
+    """doc_id of the documents with wrongly decoded parts."""
+    return encoding.repaired(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark, d):
+    """Those documents with the text as far as it can be restored."""
+    return encoding.repaired(table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p8_found, p9_found, p9_mix, p9_shares)
+    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"
