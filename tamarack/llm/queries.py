@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarack.llm import encoding, forest, leakage, mixing, pages, repeated_lines, repetition
+from tamarack.llm import encoding, forest, language, leakage, mixing, pages, repeated_lines, repetition
 
 
 def table(spark, folder: str, name: str):
@@ -58,6 +58,16 @@ def p6_shares(spark, d):
     return repetition.repetition(table(spark, d, "wet_documents")).select("rec_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
+def p7_found(spark, d):
+    """rec_id, label_field, line_no, lang of missing or wrong labels and of foreign lines."""
+    return language.wrong_labels(table(spark, d, "wet_documents"), table(spark, d, "doc_meta"), table(spark, d, "lang_codes"))
+
+
+def p7_languages(spark, d):
+    """Every prose record's main language with its confidence, and the number of its foreign lines."""
+    return language.languages(table(spark, d, "wet_documents")).select("rec_id", "lang", "confidence", F.size("foreign_lines").alias("n_foreign"))
+
+
 def p8_found(spark, d):
     """doc_id, item_id of leaked test items."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -90,7 +100,7 @@ def p10_restored(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p7_found, p7_languages, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"

@@ -83,6 +83,10 @@ def to_sql(rules: list[list[list]], names: list[str]) -> str:
     return f"CASE {when} ELSE 0 END" if rules else "0"
 
 
+def load() -> list[list[tuple[int, str, float]]]:
+    return json.loads(MODEL.read_text())["rules"]
+
+
 def case(prefix: str = "") -> str:
     """The kept rules of problem 5 as a CASE expression over columns of ``pages.STATS``."""
     m = json.loads(MODEL.read_text())

@@ -62,5 +62,66 @@ def quality(folder: str, rows: int = 6000) -> None:
     print(f"held out: {len(on)} pages, {y[cut:].sum()} cases, precision {(on & y[cut:]).sum() / on.sum():.4f}, recall {(on & y[cut:]).sum() / y[cut:].sum():.4f}")
 
 
+def language(folder: str, rows: int = 8000) -> None:
+    """Lines labelled by the function words in them and in their page.
+
+    A line takes the language with most of its function words if that has three and a clear lead, and the page's language
+    if that ties with the best; pages whose own lines disagree give only their clear lines.
+    """
+    from tamarack.llm import furniture as f
+    from tamarack.llm import language as g
+    from tamarack.llm import pages as pg
+    from tamarack.llm.arrays import TextBatch
+    from tamarack.llm.lines import Lines
+
+    seen: dict[str, int] = {}
+    for a in range(0, len(texts := pages(folder, rows)), 300):
+        b = TextBatch(texts[a : a + 300])
+        lines = Lines(b)
+        content = f.decode(lines) == 0
+        prose = pg.stats(lines, content)[:, pg.STATS.index("sentence_share")] > 0.6
+        at = np.flatnonzero(content & prose[lines.doc] & (lines.letters >= 25))
+        row = [b.text[s:e] for s, e in zip(lines.s[at], lines.e[at])]
+        votes = word_votes(TextBatch(row))
+        page = np.zeros((b.n, len(g.LANGS)))
+        np.add.at(page, lines.doc[at], votes)
+        ahead = np.sort(votes, 1)
+        clear = (ahead[:, -1] >= 4) & (ahead[:, -1] >= 1.34 * ahead[:, -2])
+        main = page.argmax(1)[lines.doc[at]]
+        mixed = np.zeros(b.n, bool)
+        mixed[lines.doc[at[clear & (votes.argmax(1) != main)]]] = True
+        for t, v, k, sure, mix_ in zip(row, votes, main, clear, mixed[lines.doc[at]]):
+            if sure:
+                seen[t] = int(v.argmax())
+            elif not mix_ and v[k] >= v.max() - 1:
+                seen[t] = int(k)
+    rng = np.random.default_rng(1)
+    by = {k: [t for t, j in seen.items() if j == k] for k in range(len(g.LANGS))}
+    print({g.LANGS[k]: len(v) for k, v in by.items()})
+    most = 4000
+    rows_ = [(t, k) for k, v in by.items() for t in (rng.permutation(np.array(v, object))[:most])]
+    rng.shuffle(rows_)
+    cut = len(rows_) * 9 // 10
+    y = np.array([int(k) for _, k in rows_])
+    p = g.train([str(t).encode() for t, _ in rows_[:cut]], y[:cut])
+    np.savez_compressed(g.MODEL, **{k: v.astype(np.float16) for k, v in p.items()})
+    test = [str(t).encode() for t, _ in rows_[cut:]]
+    ends = np.cumsum([len(t) for t in test])
+    total, wins = g.label_spans(np.frombuffer(b"".join(test), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    print(f"held out: {len(test)} lines, {(total.argmax(1) == y[cut:]).mean():.4f} right, positions {(wins[np.arange(len(test)), y[cut:]].sum() / wins.sum()):.4f}")
+
+
+def word_votes(b) -> np.ndarray:
+    """Function words of each language in each text."""
+    from tamarack.llm.arrays import member
+    from tamarack.llm.lines import lookup
+
+    t = lookup()
+    at = np.searchsorted(t["common"], b.word_hash)
+    at[at == len(t["common"])] = 0
+    hit = member(b.word_hash, t["common"])
+    return np.stack([np.bincount(b.word_doc[hit], w[at[hit]], b.n) for w in t["by_lang"]], 1)
+
+
 if __name__ == "__main__":
     globals()[sys.argv[1]](sys.argv[2])
