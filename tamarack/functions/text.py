@@ -15,8 +15,12 @@ DEDUP_CHARS = 1000
 
 
 def tokens(text: Column) -> Column:
-    """OP-B9, OP-F4: lower-cased runs of letters, digits and underscores, 2 to 50 characters long. Null gives []."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"))
+    """OP-B9, OP-F4: lower-cased runs of letters, digits and underscores, 2 to 50 characters long. Null gives [].
+
+    Both forms of the small sigma are one letter, so that a word's place in a line cannot change it.
+    """
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "ς", "σ")
+    runs = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"))
     return F.filter(runs, lambda t: F.length(t).between(MIN_TOKEN, MAX_TOKEN))
 
 

@@ -215,6 +215,21 @@ class Graph:
 SHARD_ROWS = 50_000
 
 
+def _shard_search(known, k: int, efs: tuple[int, ...], m: int, ef_construction: int):
+    """Builds the graph of one shard and answers all queries of a broadcast block."""
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, q = known.value
+        pdf = pdf.sort_values("vec_id")
+        vec = np.stack(pdf["embedding"].to_numpy())
+        g = Graph(vec.shape[1], m, ef_construction)
+        g.build(pdf["vec_id"], vec)
+        rows = [(ef, int(i), j, float(d)) for ef in efs for i, x in zip(ids, q) for d, j in g.search(x, k, ef)]
+        return pd.DataFrame(rows, columns=["ef", "qid", "vec_id", "dist"])
+
+    return answer
+
+
 def hnsw_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, efs: tuple[int, ...] = (50,), m: int = 16, ef_construction: int = 200, shards: int | None = None) -> DataFrame:
     """OP-V5, OP-V6, OP-V10: (ef, qid, vec_id, dist, rank) by one graph for each shard of hashed ids.
 
@@ -229,16 +244,7 @@ def hnsw_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, efs: tuple[int
     for ids, q in query_blocks(queries):
         known = spark.sparkContext.broadcast((ids, q))
 
-        def answer(pdf: pd.DataFrame, known=known) -> pd.DataFrame:
-            ids, q = known.value
-            pdf = pdf.sort_values("vec_id")
-            m_ = np.stack(pdf["embedding"].to_numpy())
-            g = Graph(m_.shape[1], m, ef_construction)
-            g.build(pdf["vec_id"], m_)
-            rows = [(ef, int(i), j, float(d)) for ef in efs for i, x in zip(ids, q) for d, j in g.search(x, k, ef)]
-            return pd.DataFrame(rows, columns=["ef", "qid", "vec_id", "dist"])
-
-        got = v.groupBy("shard").applyInPandas(answer, "ef int, qid bigint, vec_id bigint, dist double")
+        got = v.groupBy("shard").applyInPandas(_shard_search(known, k, efs, m, ef_construction), "ef int, qid bigint, vec_id bigint, dist double")
         parts = got if parts is None else parts.unionByName(got)
     if parts is None:
         parts = spark.createDataFrame([], "ef int, qid bigint, vec_id bigint, dist double")

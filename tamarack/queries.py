@@ -42,7 +42,7 @@ def literal(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(0, text)], "qid int, text string")
 
 
-_TOKENS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda x: length(x) BETWEEN 2 AND 50)"
+_TOKENS = r"list_filter(regexp_extract_all(replace(lower(coalesce(text, '')), 'ς', 'σ'), '[\p{L}\p{N}_]+'), lambda x: length(x) BETWEEN 2 AND 50)"
 
 
 def _corpus(segments: int = 1) -> str:
