@@ -109,7 +109,7 @@ def locate(bases: DataFrame, ids: DataFrame) -> DataFrame:
     if not one:
         return ids.limit(0).select("global_id", F.lit(0).alias("segment_id"), F.col("global_id").alias("local_id"))
     arr = F.array(*(F.struct(F.lit(r["base"]).alias("base"), F.lit(r["segment_id"]).alias("segment_id"), F.lit(r["num_docs"]).alias("num_docs")) for r in one))
-    hit = ids.where("global_id >= 0").withColumn("_s", F.element_at(F.filter(arr, lambda s: s["base"] <= F.col("global_id")), -1))
+    hit = ids.where("global_id >= 0").withColumn("_s", F.try_element_at(F.filter(arr, lambda s: s["base"] <= F.col("global_id")), F.lit(-1)))
     local = F.col("global_id") - F.col("_s.base")
     return hit.where(local < F.col("_s.num_docs")).select("global_id", F.col("_s.segment_id").alias("segment_id"), local.alias("local_id"))
 
