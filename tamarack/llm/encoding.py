@@ -1,11 +1,12 @@
 """Problem 10: text from a wrong character encoding, by mutual information of neighbouring characters.
 
-All adjacent pairs of the corpus are counted. A pair's score is how far its pointwise mutual information lies below a
-level; maximum-scoring segments of these scores are the improbable runs of a text, widened to the runs of non-ASCII
-characters they touch. Only inside them are inverse mappings tried: the characters are turned back into the bytes of an
-encoding they may have been read in, and the bytes are read as UTF-8 or as another single-byte encoding, twice over if
-need be. A mapping is taken if the corpus makes the result likelier by more than a margin. Replacement characters and C1
-controls are marks of wrong decoding whether or not anything can be restored.
+All adjacent pairs of the corpus are counted, once for each distinct text, as copies are no further evidence. A pair's
+score is how far its pointwise mutual information lies below a level; maximum-scoring segments of these scores are the
+improbable runs of a text, widened to the runs of non-ASCII characters they touch. Inside them, and wherever characters
+are the bytes of a UTF-8 character in some encoding or letters of two scripts touch, however frequent, inverse mappings
+are tried: the characters are turned back into the bytes of an encoding they may have been read in, and the bytes are
+read as UTF-8 or as another single-byte encoding, twice over if need be. A mapping is taken if the corpus makes the result
+likelier by more than a margin. Replacement characters and C1 controls are marks of wrong decoding whether or not anything can be restored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.arrays import TextBatch, mapped
+from tamarack.llm.arrays import BMP, LETTER, TextBatch, mapped, tables
 
 LEVEL = -2.0
 """Pairs whose mutual information (nats) lies below this score above zero."""
@@ -31,6 +32,8 @@ WRITTEN_AS = ["cp1252", "mac_roman", "cp850", "cp437", "cp1250", "iso8859_2"]
 MULTI_GAIN, SINGLE_GAIN, LEAST_SEEN = -6.0, 4.0, 3
 """Nats of gain a restored run must exceed: in all for UTF-8, whose byte pattern is evidence itself, for each changed
 character else. Restored characters must occur so often in the corpus."""
+BROADCAST_COPIES = 400_000
+"""Repeated texts up to this number have their hashes broadcast; beyond it the texts are shuffled to meet them."""
 ALIKE = 3
 """Different runs of one text that a less sure mapping must explain."""
 
@@ -86,25 +89,75 @@ def reread_single(run: str, read: str, written: str) -> str | None:
     return "".join(out)
 
 
+@lru_cache(1)
+def _utf8_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of the basic plane, a bit for each of READ_AS: leads of 2, 3 and 4 bytes and later bytes."""
+    two, three, four, later = (np.zeros(BMP, np.uint16) for _ in range(4))
+    for i, codec in enumerate(READ_AS):
+        table = to_byte(codec)
+        for c, b in table.items():
+            t = two if 0xC2 <= b < 0xE0 else three if 0xE0 <= b < 0xF0 else four if 0xF0 <= b < 0xF5 else later if b < 0xC0 else None
+            if t is not None:
+                t[ord(c)] |= 1 << i
+        if "\xa0" in table:
+            later[32] |= 1 << i
+    return two, three, four, later
+
+
+def utf8_leads(cp: np.ndarray) -> np.ndarray:
+    """Whether a character and those after it are the bytes of one UTF-8 character in some encoding."""
+    two, three, four, later = _utf8_tables()
+    x = np.zeros(len(cp) + 3, np.uint32)
+    x[: len(cp)] = np.where(cp < BMP, cp, 0)
+    x, n = x.astype(np.uint16), len(cp)
+    l1, l2, l3 = (later[x[k : n + k]] for k in (1, 2, 3))
+    return (two[x[:n]] & l1 | three[x[:n]] & l1 & l2 | four[x[:n]] & l1 & l2 & l3) != 0
+
+
+def foreign_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where ``_foreign`` holds of two neighbouring characters."""
+    mark = lambda c: (c >= 0x370) & (c < 0x530) | (c >= 0x2200) & (c < 0x2400) | (c >= 0x2500) & (c < 0x25A0)
+    latin = lambda c: (c < 0x250) & (tables()[0][np.minimum(c, BMP - 1)] & LETTER > 0)
+    return mark(a) & latin(b) | mark(b) & latin(a)
+
+
+def weighed(docs: DataFrame) -> DataFrame:
+    """(text, weight): the copies of a text weigh one together."""
+    from tamarack.plans.stage import cut
+
+    d = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    d = d.withColumn("h", F.xxhash64("text"))
+    many = cut(d.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    n = many.limit(BROADCAST_COPIES + 1).count()
+    if not n:
+        return d.select("text", F.lit(1.0).alias("weight"))
+    many = F.broadcast(many) if n <= BROADCAST_COPIES else many
+    return d.join(many, "h", "left").select("text", F.coalesce(1 / F.col("n"), F.lit(1.0)).alias("weight"))
+
+
 def pair_counts(docs: DataFrame) -> DataFrame:
-    """(a, b, n): how often character b follows a, summed over one slice of a task; a line feed counts as a blank."""
+    """(a, b, n, copies): how often character b follows a, in distinct texts and in all; a line feed counts as a blank."""
 
     def make(b, kept):
         cp = np.where(b.cp == 10, 32, b.cp)
         if len(cp) < 2:
-            return [[], [], []]
+            return [[], [], [], []]
+        weight = kept[0].to_numpy(zero_copy_only=False)[b.doc_of[:-1]]
         known, code = np.unique(cp, return_inverse=True) if b.cp.max(initial=0) >= 0x10000 else _dense(cp)
         k = len(known)
         pair = code[:-1].astype(np.int64) * k + code[1:]
         if k * k <= 4_000_000:
-            n = np.bincount(pair, minlength=k * k)
-            at = np.flatnonzero(n)
-            n = n[at]
+            copies = np.bincount(pair, minlength=k * k)
+            n = np.bincount(pair, weight, k * k)
+            at = np.flatnonzero(copies)
+            n, copies = n[at], copies[at]
         else:
-            at, n = np.unique(pair, return_counts=True)
-        return [known[at // k].astype(np.int64), known[at % k].astype(np.int64), n]
+            at, back, copies = np.unique(pair, return_inverse=True, return_counts=True)
+            n = np.bincount(back, weight)
+        return [known[at // k].astype(np.int64), known[at % k].astype(np.int64), n, copies]
 
-    return mapped(docs, "text", [], "a int, b int, n bigint", make).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    n = mapped(weighed(docs), "text", ["weight"], "a int, b int, n double, copies bigint", make)
+    return n.groupBy("a", "b").agg(F.round(F.sum("n"), 6).alias("n"), F.sum("copies").alias("copies"))
 
 
 def _dense(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +172,11 @@ def _dense(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Pair statistics of the corpus."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, singles: dict[int, int], total: int):
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, singles: dict[int, float], total: float, copies: dict[int, int]):
         key = a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64)
         order = np.argsort(key)
         self.key, self.n = key[order], n[order].astype(float)
-        self.total = max(total, 1)
+        self.total, self.copies = max(total, 1), copies
         size = 0x110000
         self.p = np.zeros(size, np.float32)
         if singles:
@@ -228,7 +281,7 @@ def restore(model: Model, left: str, run: str, right: str) -> tuple[str, str] |
             blank = tail is not text and new[-1:] == " "
             new = new[:-1] if blank else new
             gain = model.loglik(left + new + (right if blank or tail is text else " ")) - base
-            seen = all(model.p[ord(c)] * model.total >= LEAST_SEEN for c in new if ord(c) > 127)
+            seen = all(model.copies.get(ord(c), 0) >= LEAST_SEEN for c in new if ord(c) > 127)
             if seen and gain > MULTI_GAIN or "\ufffd" in new:
                 options.append((gain, new))
         if options:
@@ -270,6 +323,8 @@ def repair(model: Model, texts: list[str | None], cache: dict | None = None) ->
     if not len(at):
         return bad, fixed
     score = model.scores(cp[at], cp[at + 1])
+    certain = utf8_leads(cp)[at] | foreign_pairs(cp[at], cp[at + 1])
+    score = np.where(certain, np.maximum(score, 1e-9), score)
     cut = np.flatnonzero(np.diff(at) > 1) + 1
     hot = np.maximum.reduceat(score, np.concatenate([[0], cut])) > 0
     edits: dict[int, list[tuple[int, int, str]]] = {}
@@ -316,14 +371,15 @@ def repair(model: Model, texts: list[str | None], cache: dict | None = None) ->
 
 
 def corpus_model(docs: DataFrame) -> Model:
-    """Counts over all documents. Characters are few, whatever the corpus; of their pairs the PAIRS most frequent are kept."""
+    """Counts over all distinct texts. Characters are few, whatever the corpus; of their pairs the PAIRS most frequent are kept."""
     from tamarack.plans.stage import cut
 
     n = cut(pair_counts(docs))
     total = n.agg(F.sum("n")).first()[0] or 0
-    singles = {r["a"]: r["n"] for r in n.groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    rows = n.groupBy("a").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).collect()
+    singles, copies = {r["a"]: r["n"] for r in rows}, {r["a"]: r["copies"] for r in rows}
     top = n.orderBy(F.desc("n"), "a", "b").limit(PAIRS).toPandas()
-    return Model(top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64), top["n"].to_numpy(np.int64), singles, total)
+    return Model(top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64), top["n"].to_numpy(float), singles, total, copies)
 
 
 def repaired(docs: DataFrame) -> DataFrame:
