@@ -35,7 +35,9 @@ character else. Restored characters must occur so often in the corpus."""
 BROADCAST_COPIES = 400_000
 """Repeated texts up to this number have their hashes broadcast; beyond it the texts are shuffled to meet them."""
 ALIKE = 3
-"""Different runs of one text that a less sure mapping must explain."""
+"""Different runs of one text that a less sure mapping must explain, or else ..."""
+ENOUGH = 18.0
+"""... nats that its different cases in the text must gain together."""
 
 
 @lru_cache(None)
@@ -196,16 +198,17 @@ class Model:
         pa, pb = np.maximum(self.p[a], FLOOR), np.maximum(self.p[b], FLOOR)
         return LEVEL - np.log((self.pair_n(a, b) + 0.5) / self.total / pa / pb)
 
-    def loglik(self, text: str) -> float:
-        """Log-probability of the characters after the first."""
+    def loglik(self, text: str, own: int = 0) -> float:
+        """Log-probability of the characters after the first; ``own`` is how often the text itself is among the counts."""
         total = 0.0
         for x, y in zip(text, text[1:]):
             x, y = ord(x), ord(y)
-            k = x << 21 | y
+            k = own << 42 | x << 21 | y
             if k not in self._seen:
-                own = float(self.p[x]) * self.total
-                n = float(self.pair_n(np.array([x]), np.array([y]))[0])
-                self._seen[k] = float(np.log((n + 20 * (float(self.p[y]) + 1e-8)) / (own + 20)))
+                first = max(float(self.p[x]) * self.total - own, 0.0)
+                n = max(float(self.pair_n(np.array([x]), np.array([y]))[0]) - own, 0.0)
+                share = max(float(self.p[y]) - own / self.total, 0.0)
+                self._seen[k] = float(np.log((n + 20 * (share + 1e-8)) / (first + 20)))
             total += self._seen[k]
         return total
 
@@ -263,11 +266,11 @@ def _foreign(left: str, run: str, right: str) -> bool:
     return False
 
 
-def restore(model: Model, left: str, run: str, right: str) -> tuple[str, str] | None:
-    """What the run was before it was read wrongly and how sure that is, or None if no mapping fits.
+def restore(model: Model, left: str, run: str, right: str) -> tuple[str | None, dict[str, tuple[float, str]]] | None:
+    """What the run was before it was read wrongly, or None if no mapping fits.
 
-    "sure": UTF-8 read as something else, or characters that cannot stand there; else the pair of encodings, of which one
-    text must show several cases.
+    The restored run if that is sure, for UTF-8 read as something else, characters that cannot stand there or a letter
+    alone that was a dash or bullet; and what each pair of single-byte encodings gains and makes of it, of which the text as a whole must give enough evidence.
     """
     best, text = None, run
     for _ in range(3):
@@ -289,20 +292,49 @@ def restore(model: Model, left: str, run: str, right: str) -> tuple[str, str] |
             continue
         break
     if best is not None:
-        return best, "sure"
-    odd, options = _odd(left, run, right), []
+        return best, {}
+    odd, options = _odd(left, run, right), {}
+    base = model.loglik(left + run + right, 1)
     for read in READ_AS:
         for written in WRITTEN_AS:
             new = None if read == written else reread_single(run, read, written)
-            if new is None or new == run or not all(c.isalpha() or c in "«»“”‘’–—…°º" for c in new if ord(c) > 127):
+            if new is None or new == run or not all(c.isalpha() or c in "«»“”‘’–—…°º•" for c in new if ord(c) > 127):
                 continue
             gain = model.loglik(left + new + right) - base
             if gain > SINGLE_GAIN * sum(x != y for x, y in zip(run, new)) and not _odd(left, new, right):
-                options.append((gain, new, f"{read} {written}"))
+                options[f"{read} {written}"] = gain, new
     if not options:
-        return (run, "sure") if _foreign(left, run, right) else None
-    _, new, how = max(options)
-    return new, "sure" if odd else how
+        return (run, {}) if _foreign(left, run, right) else None
+    alone = len(run) == 1 and run.isalpha() and left.isspace() and right.isspace()
+    sure = [x for x in options.values() if odd or alone and x[1] in "–—•"]
+    return max(sure)[1] if sure else None, options
+
+
+def convincing(found: dict[tuple[str, str, str], tuple[str | None, dict[str, tuple[float, str]]]]) -> dict[tuple[str, str, str], str]:
+    """The restored run of each (left, run, right) of one text for which the text's own evidence is enough.
+
+    Each pair of encodings has the gains of all the different cases it explains; pairs that restore them alike have the
+    same. The best is taken, then the best of what it leaves.
+    """
+    out = {k: new for k, (new, _) in found.items() if new is not None}
+    left = {k: options for k, (new, options) in found.items() if new is None}
+    while left:
+        total: dict[str, float] = {}
+        runs: dict[str, set] = {}
+        for k, (_, options) in found.items():
+            if k in left or k in out:
+                for how, (gain, new) in options.items():
+                    if k in left or out[k] == new:
+                        total[how] = total.get(how, 0.0) + gain
+                        runs.setdefault(how, set()).add(k[1])
+        open_ = {how for options in left.values() for how in options}
+        good = [how for how in open_ if total[how] >= ENOUGH or len(runs[how]) >= ALIKE]
+        if not good:
+            break
+        how = max(good, key=lambda h: (round(total[h], 6), h))
+        for k in [k for k in left if how in left[k]]:
+            out[k] = left.pop(k)[how][1]
+    return out
 
 
 def repair(model: Model, texts: list[str | None], cache: dict | None = None) -> tuple[np.ndarray, list[str | None]]:
@@ -327,7 +359,7 @@ def repair(model: Model, texts: list[str | None], cache: dict | None = None) ->
     score = np.where(certain, np.maximum(score, 1e-9), score)
     cut = np.flatnonzero(np.diff(at) > 1) + 1
     hot = np.maximum.reduceat(score, np.concatenate([[0], cut])) > 0
-    edits: dict[int, list[tuple[int, int, str]]] = {}
+    edits: dict[int, list[tuple[int, int, tuple[str, str, str], tuple]]] = {}
     starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
     for a, z in zip(starts[hot].tolist(), ends[hot].tolist()):
         done = -1
@@ -354,15 +386,13 @@ def repair(model: Model, texts: list[str | None], cache: dict | None = None) ->
             if cache[key] is not None:
                 d = int(np.searchsorted(b.start, s, "right")) - 1
                 o = int(b.start[d])
-                edits.setdefault(d, []).append((s - o, e - o, *cache[key]))
+                edits.setdefault(d, []).append((s - o, e - o, key, cache[key]))
     for d, row in edits.items():
         t, out, last = texts[d], [], 0
-        votes: dict[str, set] = {}
-        for s, e, _, how in row:
-            votes.setdefault(how, set()).add(t[s:e])
-        row = [r for r in row if r[3] == "sure" or len(votes[r[3]]) >= ALIKE]
+        good = convincing({key: found for _, _, key, found in row})
+        row = [(s, e, good[key]) for s, e, key, _ in row if key in good]
         bad[d] |= bool(row)
-        for s, e, new, _ in row:
+        for s, e, new in row:
             out += [t[last:s], new]
             # A hard blank that had become a blank belongs to the character restored before it.
             last = e + (t[e : e + 1] == " " and new[-1:] in "àÀ" and t[e - 1 : e] == "Ã")
