@@ -55,9 +55,8 @@ def bands(fp: Column, n: int, bits: int) -> Column:
     return F.array(*(F.shiftrightunsigned(fp, bits * i).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for i in range(n)))
 
 
-@F.pandas_udf(T.LongType())
-def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """OP-D1: 64-bit sign of the summed bit votes of the first 200 words' MD5; 0 for a text without words or null.
+def _fingerprints(texts: Iterator[pd.Series], most: int | None) -> Iterator[pd.Series]:
+    """64-bit sign of the summed bit votes of the MD5 of the first ``most`` words, or of all; 0 for a text without words or null.
 
     Each word votes with the first eight bytes of its digest, big-endian; a bit is set if it has more votes for than
     against. Words repeat often, so digests are kept per worker.
@@ -72,7 +71,7 @@ def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         out = np.zeros(len(batch), np.int64)
         for i, t in enumerate(batch):
-            words = t.lower().split()[:SIMHASH_TOKENS] if t is not None else []
+            words = t.lower().split()[:most] if t is not None else []
             if not words:
                 continue
             if len(seen) > 500_000:
@@ -81,11 +80,24 @@ def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 if w not in seen:
                     seen[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "replace")).digest()[:8], "big")
             h = np.fromiter((seen[w] for w in words), np.uint64, len(words))
-            ones = ((h[:, None] >> shifts) & np.uint64(1)).sum(0, dtype=np.int64)
+            # By blocks, so that a long text does not become 64 numbers a word at once.
+            ones = sum(((h[k : k + 8192, None] >> shifts) & np.uint64(1)).sum(0, dtype=np.int64) for k in range(0, len(h), 8192))
             out[i] = (weights[2 * ones > len(words)]).sum(dtype=np.uint64).astype(np.int64)
         yield pd.Series(out)
 
 
+@F.pandas_udf(T.LongType())
+def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """OP-D1, OP-F12: fingerprint of the first 200 words, as the reference has it."""
+    yield from _fingerprints(texts, SIMHASH_TOKENS)
+
+
+@F.pandas_udf(T.LongType())
+def simhash_whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The same of all words."""
+    yield from _fingerprints(texts, None)
+
+
 @F.pandas_udf(T.LongType())
 def xxh64(texts: pd.Series) -> pd.Series:
     """OP-D6: XXH64 with seed 0 of the UTF-8 text, as signed bits. Spark's own ``xxhash64`` has another seed."""

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import DEDUP_CHARS, bands, hamming, simhash, strip, tokens
+from tamarack.functions.text import DEDUP_CHARS, bands, hamming, simhash, simhash_whole, strip, tokens
 from tamarack.plans.stage import cut
 
 NEAR = 3
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", chars: int | None = None) -> DataFrame:
-    """(key, fp); ``chars`` limits the text as an ingest does before its duplicate check (OP-F11)."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", chars: int | None = None, whole: bool = False) -> DataFrame:
+    """(key, fp); ``chars`` limits the text as an ingest does before its duplicate check (OP-F11).
+
+    ``whole`` reads all characters and all words instead.
+    """
+    if whole:
+        return docs.select(key, simhash_whole("text").alias("fp"))
     text = F.substring("text", 1, chars) if chars else F.col("text")
     return docs.select(key, simhash(text).alias("fp"))
 
@@ -61,9 +66,9 @@ def greedy_kept(cls: DataFrame, pairs: DataFrame) -> DataFrame:
     return firsts if settled_drop is None else firsts.join(settled_drop, "first", "left_anti")
 
 
-def greedy_dedup(docs: DataFrame, key: str = "doc_id", chars: int | None = DEDUP_CHARS) -> DataFrame:
+def greedy_dedup(docs: DataFrame, key: str = "doc_id", chars: int | None = DEDUP_CHARS, whole: bool = False) -> DataFrame:
     """(key, is_dup): whether each document, in the order of its key, repeats an earlier kept one."""
-    fps = cut(fingerprints(docs, key, chars))
+    fps = cut(fingerprints(docs, key, chars, whole))
     cls = cut(classes(fps, key))
     kept = greedy_kept(cls, near_pairs(cls)).select(F.col("first").alias(key), F.lit(True).alias("_k"))
     return fps.select(key).join(kept, key, "left").select(key, F.col("_k").isNull().alias("is_dup"))
@@ -77,13 +82,13 @@ def dupe_rate(flags: DataFrame) -> DataFrame:
     )
 
 
-def ingest(records: DataFrame, key: str = "rec_id", min_chars: int = 100, min_tokens: int = 10, max_docs: int | None = None) -> DataFrame:
+def ingest(records: DataFrame, key: str = "rec_id", min_chars: int = 100, min_tokens: int = 10, max_docs: int | None = None, whole: bool = False) -> DataFrame:
     """OP-F1 to F7: what an ingest indexes, in the order of ``key``.
 
     Web addresses only, at least ``min_chars`` characters after trimming, greedy near-duplicate check, then at least
-    ``min_tokens`` tokens: short documents still shadow later ones. ``max_docs`` None or 0 keeps all.
+    ``min_tokens`` tokens: short documents still shadow later ones. ``max_docs`` None or 0 keeps all. ``whole`` compares whole texts.
     """
     t = records.withColumn("text", strip(F.col("text"))).where(F.col("url").startswith("http") & (F.length("text") >= min_chars))
-    t = t.join(greedy_dedup(t.select(key, "text"), key).where(~F.col("is_dup")).select(key), key, "left_semi")
+    t = t.join(greedy_dedup(t.select(key, "text"), key, whole=whole).where(~F.col("is_dup")).select(key), key, "left_semi")
     t = t.withColumn("n_tokens", F.size(tokens(F.col("text")))).where(F.col("n_tokens") >= min_tokens)
     return t.orderBy(key).limit(max_docs) if max_docs else t

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import hamming, simhash, strip, tokens
+from tamarack.functions.text import hamming, simhash, simhash_whole, strip, tokens
 from tamarack.operators import dedup
 from tamarack.operators.index import BUCKETS, Index
 from tamarack.plans.stage import cut
@@ -18,11 +18,12 @@ class StreamIngest:
 
     Kept fingerprints are a table in the index folder, one directory for each batch; a batch meets them by bands and never
     reads old texts. A batch that is run again after a failure first overwrites what it had written.
+    ``whole`` compares whole texts; an index must do so from its first batch on or not at all.
     """
 
-    def __init__(self, spark: SparkSession, index_path: str, min_chars: int = 100, min_tokens: int = 10, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, index_path: str, min_chars: int = 100, min_tokens: int = 10, buckets: int = BUCKETS, whole: bool = False):
         self.spark, self.index = spark, Index(spark, index_path, buckets)
-        self.min_chars, self.min_tokens = min_chars, min_tokens
+        self.min_chars, self.min_tokens, self.whole = min_chars, min_tokens, whole
         self.fps = f"{self.index.path}/fingerprints"
 
     def _known(self, batch_id: int) -> DataFrame | None:
@@ -37,7 +38,7 @@ class StreamIngest:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         t = batch.withColumn("text", strip(F.col("text"))).where(F.col("url").startswith("http") & (F.length("text") >= self.min_chars))
-        t = cut(t.withColumn("fp", simhash(F.substring("text", 1, dedup.DEDUP_CHARS))))
+        t = cut(t.withColumn("fp", simhash_whole("text") if self.whole else simhash(F.substring("text", 1, dedup.DEDUP_CHARS))))
         cls = cut(dedup.classes(t, "rec_id"))
         known = self._known(batch_id)
         if known is not None:
