@@ -23,6 +23,8 @@ ALTERED = 8
 MOST_ITEMS = 100_000
 """Test items are kept in memory on every executor; a larger set must be given in parts."""
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+"""Longer tags and those over several lines. Prose between two signs looks alike, so such a text is read both ways."""
 KEY = 10
 """Characters in one sort key, 6 bits each; two keys make the order."""
 
@@ -206,7 +208,13 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     def make(b, kept):
         if not held:
             held.append(Items(*known.value))
-        at, ids = held[0].found_in(b.texts)
+        texts, of = list(b.texts), list(range(b.n))
+        for i, t in enumerate(b.texts):
+            if "<" in t and (bare := _ANY_TAG.sub("", short := _TAG.sub("", t))) != short:
+                texts.append(bare)
+                of.append(i)
+        at, ids = held[0].found_in(texts)
+        at = [of[i] for i in at]
         import pyarrow as pa
 
         return [kept[0].take(pa.array(at, pa.int64())), ids]
