@@ -23,8 +23,6 @@ LEVEL = -2.0
 """Pairs whose mutual information (nats) lies below this score above zero."""
 FLOOR = 0.02
 """Least share a single character counts with, so that rare characters cannot make a pair look bound."""
-PAIRS = 2_000_000
-"""The most frequent pairs of characters are kept on every executor; others count as unseen."""
 
 #: Encodings that bytes may have been read in, and those they may have been written in.
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "iso8859_15", "cp1254", "cp1257", "cp866"]
@@ -123,6 +121,28 @@ def foreign_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mark(a) & latin(b) | mark(b) & latin(a)
 
 
+BLOCKS = 0x110000 >> 12
+
+
+@lru_cache(1)
+def kinds() -> tuple[np.ndarray, int]:
+    """A kind for every code point, and the number of kinds.
+
+    ASCII and each character that one of the encodings can read or write is a kind of its own; all others, which no single
+    byte can stand for, are told apart by their block of 4096. So pairs of kinds are about a million, whatever the corpus.
+    """
+    own = sorted({*range(128), *(ord(c) for k in {*READ_AS, *WRITTEN_AS} for c in to_byte(k)), 0xFFFD})
+    table = len(own) + (np.arange(0x110000, dtype=np.int32) >> 12)
+    table[own] = np.arange(len(own))
+    return table.astype(np.int32), len(own) + BLOCKS
+
+
+def single(cp: np.ndarray) -> np.ndarray:
+    """Whether a character is beyond ASCII and a kind of its own, or U+FFFD."""
+    table, n = kinds()
+    return (cp > 127) & (table[cp] < n - BLOCKS)
+
+
 def weighed(docs: DataFrame) -> DataFrame:
     """(text, weight): the copies of a text weigh one together."""
     from tamarack.plans.stage import cut
@@ -138,75 +158,74 @@ def weighed(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:
-    """(a, b, n, copies): how often character b follows a, in distinct texts and in all; a line feed counts as a blank."""
+    """(a, b, n, copies): how often a character of kind b follows one of kind a, in distinct texts and in all; a line feed
+    counts as a blank. Rows with b = -1 count single characters that share their kind."""
 
     def make(b, kept):
         cp = np.where(b.cp == 10, 32, b.cp)
         if len(cp) < 2:
             return [[], [], [], []]
         weight = kept[0].to_numpy(zero_copy_only=False)[b.doc_of[:-1]]
-        known, code = np.unique(cp, return_inverse=True) if b.cp.max(initial=0) >= 0x10000 else _dense(cp)
-        k = len(known)
+        table, k = kinds()
+        code = table[cp]
         pair = code[:-1].astype(np.int64) * k + code[1:]
-        if k * k <= 4_000_000:
-            copies = np.bincount(pair, minlength=k * k)
-            n = np.bincount(pair, weight, k * k)
-            at = np.flatnonzero(copies)
-            n, copies = n[at], copies[at]
-        else:
-            at, back, copies = np.unique(pair, return_inverse=True, return_counts=True)
-            n = np.bincount(back, weight)
-        return [known[at // k].astype(np.int64), known[at % k].astype(np.int64), n, copies]
+        copies = np.bincount(pair, minlength=k * k)
+        n = np.bincount(pair, weight, k * k)
+        at = np.flatnonzero(copies)
+        rare, times = np.unique(cp[code >= k - BLOCKS], return_counts=True)
+        none = np.full(len(rare), -1)
+        return [np.concatenate([at // k, rare]), np.concatenate([at % k, none]), np.concatenate([n[at], none + 1.0]), np.concatenate([copies[at], times])]
 
     n = mapped(weighed(docs), "text", ["weight"], "a int, b int, n double, copies bigint", make)
     return n.groupBy("a", "b").agg(F.round(F.sum("n"), 6).alias("n"), F.sum("copies").alias("copies"))
 
 
-def _dense(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    seen = np.zeros(0x10000, bool)
-    seen[cp] = True
-    known = np.flatnonzero(seen)
-    code = np.zeros(0x10000, np.int32)
-    code[known] = np.arange(len(known))
-    return known, code[cp]
-
-
 class Model:
-    """Pair statistics of the corpus."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, singles: dict[int, float], total: float, copies: dict[int, int]):
-        key = a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64)
-        order = np.argsort(key)
-        self.key, self.n = key[order], n[order].astype(float)
-        self.total, self.copies = max(total, 1), copies
-        size = 0x110000
-        self.p = np.zeros(size, np.float32)
-        if singles:
-            self.p[np.fromiter(singles, np.int64)] = np.fromiter(singles.values(), np.float64) / self.total
+    """Pair statistics of the corpus, a row and a column for each kind of character."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, copies: np.ndarray):
+        k = kinds()[1]
+        self.rare = dict(zip(a[b < 0].tolist(), copies[b < 0].tolist()))
+        a, b, n, copies = (x[b >= 0] for x in (a, b, n, copies))
+        self.n = np.zeros((k, k), np.float32)
+        self.n[a, b] = n
+        self.total = max(float(n.sum()), 1.0)
+        self.p = (np.bincount(a, n, k) / self.total).astype(np.float32)
+        self.copies = np.bincount(a, copies, k)
         self._seen: dict[int, float] = {}
 
     def pair_n(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64)
-        if not len(self.key):
-            return np.zeros(len(key))
-        i = np.searchsorted(self.key, key)
-        i[i == len(self.key)] = 0
-        return np.where(self.key[i] == key, self.n[i], 0.0)
+        table = kinds()[0]
+        return self.n[table[a], table[b]].astype(float)
+
+    def times(self, c: str) -> float:
+        """Occurrences of a character in the corpus, copies and all."""
+        table, k = kinds()
+        kind = int(table[ord(c)])
+        return float(self.rare.get(ord(c), 0) if kind >= k - BLOCKS else self.copies[kind])
+
+    def own_share(self, c: int) -> float:
+        """Log of a character's share in its kind."""
+        table, k = kinds()
+        kind = int(table[c])
+        return 0.0 if kind < k - BLOCKS else float(np.log((self.rare.get(c, 0) + 0.01) / (self.copies[kind] + 1.0)))
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Positive where a pair is improbable."""
-        pa, pb = np.maximum(self.p[a], FLOOR), np.maximum(self.p[b], FLOOR)
+        table = kinds()[0]
+        pa, pb = np.maximum(self.p[table[a]], FLOOR), np.maximum(self.p[table[b]], FLOOR)
         return LEVEL - np.log((self.pair_n(a, b) + 0.5) / self.total / pa / pb)
 
     def loglik(self, text: str, own: int = 0) -> float:
         """Log-probability of the characters after the first; ``own`` is how often the text itself is among the counts."""
-        total = 0.0
+        total, table = 0.0, kinds()[0]
         for x, y in zip(text, text[1:]):
-            x, y = ord(x), ord(y)
+            total += self.own_share(ord(y))
+            x, y = int(table[ord(x)]), int(table[ord(y)])
             k = own << 42 | x << 21 | y
             if k not in self._seen:
                 first = max(float(self.p[x]) * self.total - own, 0.0)
-                n = max(float(self.pair_n(np.array([x]), np.array([y]))[0]) - own, 0.0)
+                n = max(float(self.n[x, y]) - own, 0.0)
                 share = max(float(self.p[y]) - own / self.total, 0.0)
                 self._seen[k] = float(np.log((n + 20 * (share + 1e-8)) / (first + 20)))
             total += self._seen[k]
@@ -284,7 +303,7 @@ def restore(model: Model, left: str, run: str, right: str) -> tuple[str | None,
             blank = tail is not text and new[-1:] == " "
             new = new[:-1] if blank else new
             gain = model.loglik(left + new + (right if blank or tail is text else " ")) - base
-            seen = all(model.copies.get(ord(c), 0) >= LEAST_SEEN for c in new if ord(c) > 127)
+            seen = all(model.times(c) >= LEAST_SEEN for c in new if ord(c) > 127)
             if seen and gain > MULTI_GAIN or "\ufffd" in new:
                 options.append((gain, new))
         if options:
@@ -349,8 +368,11 @@ def repair(model: Model, texts: list[str | None], cache: dict | None = None) ->
     high = cp > 127
     mark = np.flatnonzero((cp == 0xFFFD) | (cp >= 0x80) & (cp < 0xA0))
     bad[np.searchsorted(b.start, mark, "right") - 1] = True
-    # Only neighbourhoods of non-ASCII characters are scored: ASCII survives every one of these encodings.
-    near = high[:-1] | high[1:]
+    # Only neighbourhoods of characters that a byte may have become are scored: ASCII survives every one of these encodings,
+    # and no encoding makes other characters. Where two scripts touch is looked at in any case.
+    mixed = foreign_pairs(cp[:-1], cp[1:])
+    alone = single(cp)
+    near = alone[:-1] | alone[1:] | mixed
     at = np.flatnonzero(near)
     if not len(at):
         return bad, fixed
@@ -401,15 +423,9 @@ def repair(model: Model, texts: list[str | None], cache: dict | None = None) ->
 
 
 def corpus_model(docs: DataFrame) -> Model:
-    """Counts over all distinct texts. Characters are few, whatever the corpus; of their pairs the PAIRS most frequent are kept."""
-    from tamarack.plans.stage import cut
-
-    n = cut(pair_counts(docs))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    rows = n.groupBy("a").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).collect()
-    singles, copies = {r["a"]: r["n"] for r in rows}, {r["a"]: r["copies"] for r in rows}
-    top = n.orderBy(F.desc("n"), "a", "b").limit(PAIRS).toPandas()
-    return Model(top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64), top["n"].to_numpy(float), singles, total, copies)
+    """Counts over all distinct texts; pairs of kinds come to the driver, at most about a million rows by construction."""
+    n = pair_counts(docs).toPandas()  # and one row for each character that shares its kind
+    return Model(n["a"].to_numpy(np.int64), n["b"].to_numpy(np.int64), n["n"].to_numpy(float), n["copies"].to_numpy(float))
 
 
 def repaired(docs: DataFrame) -> DataFrame:

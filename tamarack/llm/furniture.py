@@ -22,10 +22,10 @@ MODEL = Path(__file__).with_name("models") / "furniture.npz"
 
 
 def emissions(weights: np.ndarray, lines: Lines) -> np.ndarray:
-    where, ids = lines.features
+    where, ids, weight = lines.features
     out = np.empty((lines.n, LABELS))
     for k in range(LABELS):
-        out[:, k] = np.bincount(where, weights[ids, k], lines.n)
+        out[:, k] = np.bincount(where, weights[ids, k] * weight, lines.n)
     return out
 
 
@@ -92,8 +92,14 @@ def _marginals(em: np.ndarray, trans: np.ndarray, lines: Lines, gold: np.ndarray
     return ll + em[np.arange(lines.n), gold].sum(), ge, gt
 
 
-def train(texts: list[str], labels: list[list[int]], epochs: int = 6, batch: int = 64, rate: float = 0.03, l2: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features and of the transitions, from pages and a label for each of their lines."""
+def train(
+    texts: list[str], labels: list[list[int]], epochs: int = 6, batch: int = 64, rate: float = 0.03, l2: float = 1e-5, seed: int = 7, mute: float = 0.3
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features and of the transitions, from pages and a label for each of their lines.
+
+    In every step the words of a share ``mute`` of the lines are not shown, so that shape, place and neighbours must carry
+    what they can: the words of a line on another site may be new.
+    """
     rng = np.random.default_rng(seed)
     par = [np.zeros((1 << BITS, LABELS)), np.zeros((LABELS, LABELS))]
     m, v, step = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
@@ -103,9 +109,11 @@ def train(texts: list[str], labels: list[list[int]], epochs: int = 6, batch: int
             pick = order[a : a + batch]
             lines = Lines(TextBatch([texts[i] for i in pick]))
             gold = np.array([labels[pick[d]][k] for d, k in zip(lines.doc, lines.no)])
-            where, ids = lines.features
+            where, ids, weight = lines.features
+            quiet = rng.random(lines.n) < mute
+            weight *= ~(quiet[where] & (np.arange(len(where)) >= lines.dense_rows))
             _, ge, gt = _marginals(emissions(par[0], lines), par[1], lines, gold)
-            g = np.stack([np.bincount(ids, ge[where, k], 1 << BITS) for k in range(LABELS)], 1)
+            g = np.stack([np.bincount(ids, ge[where, k] * weight, 1 << BITS) for k in range(LABELS)], 1)
             step += 1
             for p, d, mi, vi in zip(par, (g / len(pick) - l2 * par[0], gt / len(pick)), m, v):
                 mi += 0.1 * (d - mi)

@@ -15,14 +15,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm import furniture, pages, rules
+from tamarack.llm import furniture, pages
 from tamarack.llm.arrays import mapped, running
 from tamarack.llm.lines import Lines
 
-LANGS = ["de", "en", "es", "fr", "pt"]
+LANGS = ["de", "en", "es", "fr", "pt", "und"]
+"""The last stands for every other language; it is trained on text whose letters are changed for others."""
+OTHER = len(LANGS) - 1
 HIDDEN, STRIDE, STEPS, DIM = 16, 4, 64, 8
 MODEL = Path(__file__).with_name("models") / "language.npz"
 FOREIGN_LETTERS = 40
+SEGMENT_STEPS, SEGMENT_GAIN = 10, 25.0
+"""A stretch within a line is in another language if it has so many steps and gains so many nats over the main one."""
 OWN_SHARE = 0.25
 """A line with more of its positions in the record's main language is not wholly in another one."""
 
@@ -75,6 +79,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def changed_letters(text: str, rng) -> str:
+    """Text of no language of the list: letters changed for others of their kind, or for those of another script."""
+    kinds = ["aeiouyäöüáéíóúàèêâôûãõ", "bcdfghjklmnpqrstvwxzñçß"]
+    if rng.random() < 0.25:
+        low = int(rng.choice([0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0x4E00, 0xAC00, 0x3042]))
+        letters = [chr(low + int(k)) for k in rng.integers(0, 24, 64)]
+        return "".join(letters[ord(c) % 64] if c.isalpha() else c for c in text)
+    table = {}
+    for kind in kinds:
+        for c, k in zip(kind, rng.permutation(len(kind))):
+            table[ord(c)] = kind[k]
+            if len(c.upper()) == 1:
+                table[ord(c.upper())] = kind[k].upper()
+    return text.translate(table)
+
+
 def train(raw_lines: list[bytes], labels: np.ndarray, updates: int = 2500, batch: int = 192, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Parameters from lines and their languages: cross-entropy at every step, Adam, backpropagation through time."""
     rng = np.random.default_rng(seed)
@@ -170,14 +190,18 @@ def _scores(p: dict, d: str, x: np.ndarray, steps: np.ndarray, out: np.ndarray)
         out[t, :, :m] += w @ h[:, :m]
 
 
-def label_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Of each span of bytes: summed language probabilities, and how many positions each language wins."""
+def label_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: int = 1024, each: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each span of bytes: summed language probabilities, and how many positions each language wins.
+
+    If ``each`` is a list, it gets for every span the probabilities of each of its steps.
+    """
     p = model()
     total = np.zeros((len(starts), len(LANGS)))
     wins = np.zeros((len(starts), len(LANGS)))
     if not len(starts):
         return total, wins
     x, steps, span = blocks(raw, starts, ends)
+    kept = np.zeros((len(span), STEPS, len(LANGS)), np.float32) if each is not None else None
     order = np.argsort(-steps, kind="stable")
     for a in range(0, len(order), group):
         o = order[a : a + group]
@@ -195,9 +219,39 @@ def label_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: in
         score *= on
         np.add.at(total, span[o], score.sum(0).T)
         np.add.at(wins, span[o], best.T)
+        if kept is not None:
+            kept[o, :top] = score.transpose(2, 0, 1)
+    if kept is not None:
+        cut = np.searchsorted(span, np.arange(len(starts) + 1))
+        each += [np.concatenate([kept[b, : steps[b]] for b in range(i, j)]) for i, j in zip(cut, cut[1:])]
     return total, wins
 
 
+def stretches(prob: np.ndarray, main: int) -> list[tuple[int, int, int, float]]:
+    """(first step, end, language, mean probability) of the stretches of a line in another language than ``main``.
+
+    The other language with most probability is held against the main one, step by step; a stretch is a run of steps of
+    greatest sum, as the gains and losses before and after it do not pay.
+    """
+    other = prob.sum(0)
+    other[[main, OTHER]] = -1
+    lang = int(other.argmax())
+    gain = np.clip(np.log(prob[:, lang] + 1e-6) - np.log(prob[:, main] + 1e-6), -4, 4)
+    out, low, start, best = [], 0.0, 0, (0.0, 0)
+    run = 0.0
+    for i, g in enumerate(gain.tolist()):
+        run += g
+        if run - low > best[0]:
+            best = (run - low, i + 1)
+        if run <= low or best[0] - (run - low) > SEGMENT_GAIN / 2:
+            if best[0] >= SEGMENT_GAIN and best[1] - start >= SEGMENT_STEPS:
+                out.append((start, best[1], lang, float(prob[start : best[1], lang].mean())))
+            low, start, best = run, i + 1, (0.0, 0)
+    if best[0] >= SEGMENT_GAIN and best[1] - start >= SEGMENT_STEPS:
+        out.append((start, best[1], lang, float(prob[start : best[1], lang].mean())))
+    return out
+
+
 def utf8_offsets(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The batch as UTF-8, and the bytes of the picked lines."""
     cp = lines.b.cp
@@ -206,26 +260,44 @@ def utf8_offsets(lines: Lines, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return raw, at[lines.s[pick]], at[lines.e[pick]]
 
 
-SCHEMA = "rec_id bigint, label string, lang string, confidence double, foreign_lines array<struct<line_no:int,lang:string,confidence:double>>"
+_LINE = "line_no:int,lang:string,confidence:double"
+SCHEMA = f"rec_id bigint, label string, prose boolean, lang string, confidence double, foreign_lines array<struct<{_LINE}>>, segments array<struct<{_LINE},start:int,end:int>>"
+
+
+def _in_line(line: str, raw: bytes, a: int, z: int) -> tuple[int, int]:
+    """Characters of a line that bytes a to z lie in, widened to whole words."""
+    s, e = (len(raw[:k].decode("utf-8", "ignore")) for k in (a, z))
+    while s > 0 and line[s - 1].isalnum() and line[s : s + 1].isalnum():
+        s -= 1
+    while e < len(line) and line[e].isalnum() and line[e - 1].isalnum():
+        e += 1
+    return s, e
+
+
+def _structs(counts: np.ndarray, columns: list, names: list[str]):
+    import pyarrow as pa
+
+    st = pa.StructArray.from_arrays(columns, names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), st)
 
 
 def languages(df: DataFrame) -> DataFrame:
-    """(rec_id, label, lang, confidence, foreign_lines) of each record with a text that is prose by problem 5's rules.
+    """(rec_id, label, prose, lang, confidence, foreign_lines, segments) of each record with a text that is not blank.
 
-    The main language is read from the content lines, or from all lines if there is no content; a text of blanks has no
-    row. ``label`` is the delivered label as it stands.
+    The main language is read from the content lines, or from all lines if there is no content; it is "und" where no
+    language of the list fits. ``foreign_lines`` are content lines wholly in another one, ``segments`` stretches of SEGMENT_STEPS
+    steps or more within content lines, by characters. ``label`` is the delivered label as it stands, ``prose`` the verdict of problem 5.
+    Null, empty and blank texts have no row.
     """
-    learned = rules.load()
 
     def make(b, kept):
         import pyarrow as pa
 
         lines = Lines(b)
         content = furniture.decode(lines) == 0
-        x = pages.stats(lines, content)
-        cased = np.any([rules.covers(r, x) for r in learned], 0) & (x[:, 0] > 0) if learned else np.zeros(b.n, bool)
+        prose = pages.prosaic(pages.stats(lines, content))
         has = np.bincount(lines.doc[content], minlength=b.n) > 0
-        pick = np.flatnonzero((content | ~has[lines.doc]) & ~cased[lines.doc])
+        pick = np.flatnonzero(content | ~has[lines.doc])
         raw, s, e = utf8_offsets(lines, pick)
         total, wins = label_spans(raw, s, e)
         doc = lines.doc[pick]
@@ -236,19 +308,32 @@ def languages(df: DataFrame) -> DataFrame:
         sure = pooled.max(1) / np.maximum(all_, 1e-9)
         own = wins[np.arange(len(pick)), main[doc]] / np.maximum(wins.sum(1), 1)
         best = total.argmax(1)
-        f = np.flatnonzero((best != main[doc]) & content[pick] & (lines.letters[pick] >= FOREIGN_LETTERS) & (own <= OWN_SHARE))
+        foreign = (best != main[doc]) & (best != OTHER) & content[pick] & (lines.letters[pick] >= FOREIGN_LETTERS) & (own <= OWN_SHARE)
+        f = np.flatnonzero(foreign)
         at = np.flatnonzero((all_ > 0) & ~b.null)
         row = np.full(b.n, -1)
         row[at] = np.arange(len(at))
-        per = np.bincount(row[doc[f]], minlength=len(at))
         names = np.array(LANGS, object)
-        st = pa.StructArray.from_arrays(
-            [pa.array(lines.no[pick[f]], pa.int32()), pa.array(names[best[f]], pa.string()), pa.array(total[f, best[f]] / np.maximum(total[f].sum(1), 1e-9))],
-            ["line_no", "lang", "confidence"],
-        )
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), st)
+        score = total[f, best[f]] / np.maximum(total[f].sum(1), 1e-9)
+        whole = _structs(np.bincount(row[doc[f]], minlength=len(at)), [pa.array(lines.no[pick[f]], pa.int32()), pa.array(names[best[f]], pa.string()), pa.array(score)], ["line_no", "lang", "confidence"])
+        # Lines of which some other language holds a stretch, but not the whole.
+        rest = wins[:, :OTHER].copy()
+        mixed = np.flatnonzero(main[doc] != OTHER)
+        rest[mixed, main[doc[mixed]]] = 0
+        mixed = np.flatnonzero((rest.max(1, initial=0) >= SEGMENT_STEPS) & (main[doc] != OTHER) & content[pick] & ~foreign)
+        each: list[np.ndarray] = []
+        label_spans(raw, s[mixed], e[mixed], each=each)
+        seg: list[tuple] = []
+        for i, prob in zip(mixed.tolist(), each):
+            j = pick[i]
+            line, held = b.text[lines.s[j] : lines.e[j]], raw[s[i] : e[i]].tobytes()
+            for x, y, lang, p in stretches(prob, int(main[doc[i]])):
+                seg.append((int(row[doc[i]]), int(lines.no[j]), LANGS[lang], p, *_in_line(line, held, x * STRIDE, min(y * STRIDE, len(held)))))
+        per = np.bincount(np.array([q[0] for q in seg], np.int64), minlength=len(at))
+        cols = [pa.array([q[k] for q in seg], t) for k, t in ((1, pa.int32()), (2, pa.string()), (3, pa.float64()), (4, pa.int32()), (5, pa.int32()))]
+        parts = _structs(per, cols, ["line_no", "lang", "confidence", "start", "end"])
         take = pa.array(at)
-        return [kept[0].take(take), kept[1].take(take), names[main[at]], sure[at], lists]
+        return [kept[0].take(take), kept[1].take(take), prose[at], names[main[at]], sure[at], whole, parts]
 
     return mapped(df, "text", ["rec_id", "lang"], SCHEMA, make)
 
@@ -269,11 +354,11 @@ def wrong_labels(df: DataFrame, meta: DataFrame, codes: DataFrame) -> DataFrame:
     content lines wholly in another language.
 
     Of several rows of a record in ``meta`` the one loaded last counts (of those the greatest lang_id). Records without a
-    row there have no lang_id to be wrong. Null texts and cases of problem 5 have no rows.
+    row there have no lang_id to be wrong. Null texts, cases of problem 5 and records in no language of the list have no rows.
     """
     from tamarack.plans.stage import written
 
-    t = written(languages(df), "languages")
+    t = written(languages(df).where(F.col("prose") & (F.col("lang") != "und")).drop("segments"), "languages")
     own = named(F.col("label"))
     label = t.where(own.isNull() | (own != F.col("lang"))).select("rec_id", F.lit("lang").alias("label_field"), F.lit(-1).alias("line_no"), "lang")
     last = meta.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "lang_id")).alias("m")).select("rec_id", F.col("m.lang_id").alias("lang_id"))

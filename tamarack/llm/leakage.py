@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tamarack.llm.arrays import DIGIT, LETTER, TextBatch, mapped, running
 
@@ -21,7 +22,7 @@ VERBATIM = 12
 ALTERED = 8
 """One word in so many may be altered."""
 MOST_ITEMS = 100_000
-"""Test items are kept in memory on every executor; a larger set must be given in parts."""
+"""Test items kept in memory on an executor at once; a larger set is searched for in parts."""
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 """Longer tags and those over several lines. Prose between two signs looks alike, so such a text is read both ways."""
@@ -36,30 +37,42 @@ def least_run(n: int) -> int:
 
 
 class Letters:
-    """Letters and digits of a batch in one row, texts kept apart, with the places where words begin."""
+    """Letters and digits of a batch in one row, texts kept apart, with the places where words begin.
 
-    def __init__(self, texts: list[str | None]):
-        b = TextBatch([_TAG.sub("", t) if t and "<" in t else t for t in texts])
-        keep = (b.flags & (LETTER | DIGIT)) > 0
-        self.v = b.lower[keep]
+    What ``tag`` matches is passed over as if it were not there.
+    """
+
+    def __init__(self, texts: list[str | None], tags: list[re.Pattern] | None = None):
+        b = TextBatch(texts)
+        live = np.ones(len(b.cp), bool)
+        for i, t in enumerate(b.texts):
+            if "<" in t:
+                for m in (tags[i] if tags else _TAG).finditer(t):
+                    live[b.start[i] + m.start() : b.start[i] + m.end()] = False
+        shown = np.flatnonzero(live)
+        keep = (b.flags[shown] & (LETTER | DIGIT)) > 0
+        self.v = b.lower[shown][keep]
+        self.place = shown[keep]
+        """Of each letter, its place in the batch; less ``origin`` of its text, in the text."""
+        self.origin = b.start
         at = running(keep)
-        self.start, self.end = at[b.start], at[b.end]
+        seen = running(live)
+        self.start, self.end = at[seen[b.start]], at[seen[b.end]]
         first = keep & ~np.concatenate([[False], keep[:-1]])
-        self.words = at[:-1][first] if len(b.cp) else np.zeros(0, np.int64)
+        self.words = at[:-1][first] if len(shown) else np.zeros(0, np.int64)
         self.doc = np.searchsorted(self.start, self.words, "right") - 1
         # Empty texts share their start with the next; the last of them owns the words.
         self.stop = self.end[self.doc] if len(self.words) else self.words
 
-    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``size`` characters of each suffix as two numbers; beyond the text's end they are zero."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first characters of each suffix as two numbers; beyond the text's end they are zero."""
         code = np.where(self.v < 97, self.v % 61 + 1, np.where(self.v < 123, self.v - 96 + 26, self.v % 61 + 1)).astype(np.uint64)
         code = np.concatenate([code, np.zeros(2 * KEY, np.uint64)])
         out = []
         for k in (0, KEY):
             x = np.zeros(len(self.words), np.uint64)
             for i in range(k, k + KEY):
-                c = code[self.words + i]
-                x = x << np.uint64(6) | np.where((self.words + i < self.stop) & (i < size), c, np.uint64(0))
+                x = x << np.uint64(6) | np.where(self.words + i < self.stop, code[self.words + i], np.uint64(0))
             out.append(x)
         return out[0], out[1]
 
@@ -149,19 +162,28 @@ class Items:
         # Suffixes with room for a run of the least length, and the fewest characters such a run has.
         place = np.arange(len(t.words)) - self.first[t.doc]
         self.use = np.flatnonzero(place + self.run[t.doc] <= self.count[t.doc]) if len(t.words) else np.zeros(0, np.int64)
-        size = self.word_end[self.use + self.run[t.doc[self.use]] - 1] - t.words[self.use] if len(self.use) else np.array([1])
-        self.size = int(min(2 * KEY, size.min()))
-
-    def found_in(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
-        """Pairs of text number and item id, each once."""
-        c, t = Letters(texts), self.letters
+        # Every suffix is located by as many characters as its own shortest run has, so a short item widens no other's range.
+        size = self.word_end[self.use + self.run[t.doc[self.use]] - 1] - t.words[self.use] if len(self.use) else np.zeros(0, np.int64)
+        self.low, self.high = [], []
+        for k, x in enumerate(t.keys()):
+            known = np.clip(size - k * KEY, 0, KEY)
+            free = (np.uint64(1) << (6 * (KEY - known)).astype(np.uint64)) - np.uint64(1)
+            self.low.append(x[self.use] & ~free)
+            self.high.append(x[self.use] | free)
+
+    def found_in(self, texts: list[str | None], tags: list[re.Pattern] | None = None) -> list[tuple[int, int, int, int, int, bool]]:
+        """(text number, item id, start, length, words, whole) of each pair of text and leaked item.
+
+        Start and length, in characters of the text, are those of the longest verbatim match, ``words`` its words of the item;
+        ``whole``: all of the item is there with few words altered.
+        """
+        c, t = Letters(texts, tags), self.letters
         if not len(c.words) or not len(self.use):
-            return [], []
-        k1, k2 = c.keys(self.size)
+            return []
+        k1, k2 = c.keys()
         order = np.lexsort((k2, k1))
         s1, s2 = k1[order], k2[order]
-        q1, q2 = (x[self.use] for x in t.keys(self.size))
-        lo, hi = _bound(s1, s2, q1, q2, False), _bound(s1, s2, q1, q2, True)
+        lo, hi = _bound(s1, s2, *self.low, False), _bound(s1, s2, *self.high, True)
         n = hi - lo
         q = np.repeat(self.use, n)
         at = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -170,8 +192,8 @@ class Items:
         # Whole words of the item in the match.
         words = np.searchsorted(self.word_end, t.words[q] + length, "right") - q
         pair = c.doc[at].astype(np.int64) * len(self.ids) + item
-        leak = set(pair[words >= np.minimum(VERBATIM, self.count[item])].tolist())
-        for p in sorted(set(pair[words >= self.run[item]].tolist()) - leak):
+        leak = dict.fromkeys(pair[words >= np.minimum(VERBATIM, self.count[item])].tolist(), False)
+        for p in sorted(set(pair[words >= self.run[item]].tolist()) - set(leak)):
             d, i = divmod(p, len(self.ids))
             n_words = int(self.count[i])
             here = at[(pair == p) & (words >= self.run[item])]
@@ -185,38 +207,74 @@ class Items:
                     continue
                 seen.add(a // 4)
                 if altered_words(mine, c.tokens(d, a, a + n_words + n_words // 2 + 4), n_words // ALTERED):
-                    leak.add(p)
+                    leak[p] = True
                     break
-        got = sorted(leak)
-        return [p // len(self.ids) for p in got], [self.ids[p % len(self.ids)] for p in got]
+        # The longest match of each pair.
+        order = np.lexsort((c.words[at], -words, pair))
+        first = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])] if len(order) else order
+        out = []
+        for j in first.tolist():
+            p = int(pair[j])
+            if p in leak:
+                d, a, z = int(c.doc[at[j]]), int(c.words[at[j]]), int(c.words[at[j]] + length[j])
+                begin = int(c.place[a])
+                out.append((d, self.ids[p % len(self.ids)], begin - int(c.origin[d]), int(c.place[z - 1]) + 1 - begin, int(words[j]), leak[p]))
+        return out
 
 
-def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of every document that holds twelve consecutive words of an item, or the whole item with at most
-    one word in eight altered; an item of fewer than twelve words must be there whole.
+SCHEMA = "doc_id bigint, item_id bigint, start int, length int, words int, whole boolean"
+
 
-    The items, a fixed set of held-out texts, are collected (at most MOST_ITEMS); the corpus is not. Null and empty texts
-    on either side match nothing; repeated doc_ids give repeated rows once.
+def matches(docs: DataFrame, items: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
+    """SCHEMA: every document that holds twelve consecutive words of an item, or the whole item with at most one word in eight
+    altered, with the place of the longest verbatim match; an item of fewer than twelve words must be there whole.
+
+    The items are collected, ``most`` at once; the corpus is not. Null and empty texts on either side match nothing; repeated
+    rows of a document give repeated rows.
     """
-    rows = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} test items: give them in parts")
-    rows.sort()
-    known = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    rows = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
+    parts = -(-rows.count() // most)
+    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    for k in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+        part.sort()
+        got = _searched(docs, [r["item_id"] for r in part], [r["text"] for r in part])
+        found = got if k == 0 else found.unionByName(got)
+    return found
+
+
+def _searched(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast((ids, texts))
     held: list[Items] = []
 
     def make(b, kept):
+        import pyarrow as pa
+
         if not held:
             held.append(Items(*known.value))
-        texts, of = list(b.texts), list(range(b.n))
+        texts, tags, of = list(b.texts), [_TAG] * b.n, list(range(b.n))
         for i, t in enumerate(b.texts):
-            if "<" in t and (bare := _ANY_TAG.sub("", short := _TAG.sub("", t))) != short:
-                texts.append(bare)
+            if "<" in t and len(_ANY_TAG.findall(t)) > len(_TAG.findall(t)):
+                texts.append(t)
+                tags.append(_ANY_TAG)
                 of.append(i)
-        at, ids = held[0].found_in(texts)
-        at = [of[i] for i in at]
-        import pyarrow as pa
+        best: dict[tuple[int, int], tuple] = {}
+        for d, item, *rest in held[0].found_in(texts, tags):
+            key = of[d], item
+            if key not in best or rest[2] > best[key][2]:
+                best[key] = tuple(rest)
+        at = sorted(best)
+        cols = list(zip(*(best[k] for k in at))) if at else [[]] * 4
+        return [kept[0].take(pa.array([k[0] for k in at], pa.int64())), [k[1] for k in at], *(list(x) for x in cols)]
+
+    return mapped(docs, "text", ["doc_id"], SCHEMA, make)
+
+
+def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of ``matches``, each once."""
+    return matches(docs, items).select("doc_id", "item_id").distinct()
 
-        return [kept[0].take(pa.array(at, pa.int64())), ids]
 
-    return mapped(docs, "text", ["doc_id"], "doc_id bigint, item_id bigint", make).distinct()
+def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that hold an item; rows with a null doc_id stay."""
+    return docs.join(leaked(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -7,10 +7,12 @@ from functools import cached_property, lru_cache
 import numpy as np
 
 from tamarack.llm.arrays import DIGIT, LETTER, SPACE, UPPER, WORD, TextBatch, hash_word, member, mix, running, tables
-from tamarack.llm.words import FUNCTION_WORDS, PRODUCT_PHRASES, SALE_PHRASES, Phrases
+from tamarack.llm.words import FUNCTION_WORDS
 
 BITS = 15
 """Hashed line features have 2**BITS weights for each label."""
+LONG = 30
+"""Words of a longer line share the weight of so many."""
 
 
 @lru_cache(1)
@@ -20,7 +22,7 @@ def lookup() -> dict:
     share = np.zeros((len(langs), len(common)), np.float32)
     for i, lang in enumerate(langs):
         share[i, np.searchsorted(common, np.unique(np.array([hash_word(w) for w in FUNCTION_WORDS[lang]], np.uint64)))] = 1
-    return {"langs": langs, "common": common, "by_lang": share, "sale": Phrases(SALE_PHRASES + PRODUCT_PHRASES)}
+    return {"langs": langs, "common": common, "by_lang": share}
 
 
 def bucket(x: np.ndarray, edges: list[float]) -> np.ndarray:
@@ -81,14 +83,6 @@ class Lines:
         r = running(self.common_at)
         return r[self.word_span[1]] - r[self.word_span[0]]
 
-    @cached_property
-    def sale_chars(self) -> np.ndarray:
-        """Letters and digits that stand in phrases of selling or names of wares."""
-        hit = lookup()["sale"].cover(self.b)
-        ws, we = self.b.words
-        r = running(np.where(hit, we - ws, 0))
-        return r[self.word_span[1]] - r[self.word_span[0]]
-
     @cached_property
     def word_chars(self) -> np.ndarray:
         return self.count((self.b.flags & WORD) > 0)
@@ -131,11 +125,17 @@ class Lines:
         return (size * 4 + share) * 2 + self.ends_sentence
 
     @cached_property
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Line and hashed feature, one pair for each that holds.
+    def marked(self) -> np.ndarray:
+        """Begins with a bullet, a dash or a number."""
+        head = self.edge(False)
+        return np.isin(head, np.array([ord(c) for c in "•*-–—·#>"])) | ((head >= 48) & (head <= 57))
+
+    @cached_property
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, hashed feature and weight, one row for each that holds.
 
-        All lines have shape and place; the words and pairs of words come in for lines of up to 30 words. Longer
-        lines are told apart by shape alone, which is measured over the whole line.
+        Shape and place weigh 1; so do the words and pairs of words of a line up to LONG words. Those of a longer line share
+        the weight of LONG words, so that its words are heard and its length alone decides nothing.
         """
         cp, b = self.b.cp, self.b
         head, tail = self.edge(False), self.edge(True)
@@ -164,19 +164,19 @@ class Lines:
             bucket(self.symbols / np.maximum(self.chars, 1), [0.02, 0.06, 0.15, 0.3]),
             bucket(self.count(cp == 58), [1, 2]) * 8 + bucket(self.count(np.isin(cp, [0x2013, 0x2014])), [1]) * 4 + bucket(self.words, [3, 6, 12]),
             bucket(self.count(cp == ord("@")), [1]) + 2 * bucket(self.count(cp == 0xA9), [1]),
-            bucket(self.sale_chars / np.maximum(self.word_chars, 1), [0.1, 0.3, 0.6]) * 8 + bucket(self.words, [3, 9, 30]),
         ]
         mask = np.uint64((1 << BITS) - 1)
         at = np.arange(self.n)
         ids = [mix(np.uint64(j << 32) + x.astype(np.int64).astype(np.uint64)) & mask for j, x in enumerate(dense)]
         where = [at] * len(ids)
-        a, z = self.word_span
-        short = np.flatnonzero((self.words <= 30) & (self.words > 0))
-        if len(short):
-            k = self.words[short]
-            line = np.repeat(short, k)
+        dense_rows = self.dense_rows = self.n * len(ids)
+        a = self.word_span[0]
+        some = np.flatnonzero(self.words > 0)
+        if len(some):
+            k = self.words[some]
+            line = np.repeat(some, k)
             place = np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k)
-            w = np.repeat(a[short], k) + place
+            w = np.repeat(a[some], k) + place
             h = b.word_hash[w].copy()
             number = (b.flags[b.words[0][w]] & DIGIT) > 0
             h[number] = np.uint64(0)
@@ -188,7 +188,10 @@ class Lines:
             for edge, salt in ((np.flatnonzero(place == 0), 303), (np.flatnonzero(place == np.repeat(k, k) - 1), 404)):
                 ids.append(mix(h[edge] + np.uint64(salt)) & mask)
                 where.append(line[edge])
-        return np.concatenate(where), np.concatenate(ids).astype(np.int64)
+        where = np.concatenate(where)
+        weight = np.ones(len(where))
+        weight[dense_rows:] = (LONG / np.maximum(self.words, LONG))[where[dense_rows:]]
+        return where, np.concatenate(ids).astype(np.int64), weight
 
     # tokens: runs without white space
 
@@ -217,17 +220,3 @@ class Lines:
         tag = (e - s > 2) & ((cp[s] == 35) | ((cp[s] == 60) & (span(cp == 62) > 0)))
         r = running(np.where(proto | www | host | tag, e - s, 0))
         return r[np.searchsorted(s, self.e)] - r[np.searchsorted(s, self.s)]
-
-    @cached_property
-    def selling(self) -> np.ndarray:
-        """Mostly words of selling, wares, links or tags."""
-        return (self.sale_chars >= 0.3 * np.maximum(self.word_chars, 1)) | (self.link_chars >= 0.35 * np.maximum(self.chars, 1))
-
-    @cached_property
-    def sentence(self) -> np.ndarray:
-        """Running words: function words among them, and enough words for a clause."""
-        head = self.edge(False)
-        mark = np.isin(head, np.array([ord(c) for c in "•*-–—·#>"])) | ((head >= 48) & (head <= 57))
-        few = np.where(mark, 8, 4)
-        rich = self.common >= 0.17 * np.maximum(self.words, 1)
-        return rich & (self.words >= few) & ~self.selling & (self.letters >= 0.6 * np.maximum(self.chars, 1))

@@ -18,7 +18,10 @@ def p1_found(spark, d):
 
 def p1_curves(spark, d):
     """Every page's rank-frequency slope, residual and divergence, and whether they are extreme."""
-    return pages.judged_curves(pages.page_table(table(spark, d, "wet_documents"))).select(
+    from tamarack.plans.stage import written
+
+    p = pages.quality(pages.page_table(table(spark, d, "wet_documents"))).withColumn("pid", F.monotonically_increasing_id())
+    return pages.judged_curves(written(p, "pages")).select(
         "rec_id", "lang_guess", "bucket", "slope", "residual", "divergence", "extreme"
     )
 
@@ -58,14 +61,21 @@ def p6_shares(spark, d):
     return repetition.repetition(table(spark, d, "wet_documents")).select("rec_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
+def p6_ratios(spark, d):
+    """Every record's length-normalised log-likelihood ratio, and whether it falls below the threshold."""
+    return repetition.repetition(table(spark, d, "wet_documents")).select("rec_id", F.round("llr", 6).alias("llr"), (F.col("llr") < 0).alias("picked"))
+
+
 def p7_found(spark, d):
     """rec_id, label_field, line_no, lang of missing or wrong labels and of foreign lines."""
     return language.wrong_labels(table(spark, d, "wet_documents"), table(spark, d, "doc_meta"), table(spark, d, "lang_codes"))
 
 
 def p7_languages(spark, d):
-    """Every prose record's main language with its confidence, and the number of its foreign lines."""
-    return language.languages(table(spark, d, "wet_documents")).select("rec_id", "lang", "confidence", F.size("foreign_lines").alias("n_foreign"))
+    """Every record's main language with its confidence, and the numbers of its foreign lines and mixed-in stretches."""
+    return language.languages(table(spark, d, "wet_documents")).select(
+        "rec_id", "lang", "confidence", F.size("foreign_lines").alias("n_foreign"), F.size("segments").alias("n_segments")
+    )
 
 
 def p8_found(spark, d):
@@ -73,13 +83,23 @@ def p8_found(spark, d):
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_matches(spark, d):
+    """Leaked items with the place and length of the longest verbatim match."""
+    return leakage.matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_clean(spark, d):
+    """doc_id of the documents that are left once those with leaked items are removed."""
+    return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id")
+
+
 def p9_found(spark, d):
     """source of the targets that cannot be reached."""
     return mixing.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_mix(spark, d):
-    """Chosen documents with their copies."""
+    """Every copy of the chosen documents."""
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
@@ -100,7 +120,7 @@ def p10_restored(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p7_found, p7_languages, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p6_ratios, p7_found, p7_languages, p8_found, p8_matches, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"
@@ -131,7 +151,7 @@ SQL: dict[str, str] = {
     "p6_found": _RUNS + "SELECT t.rec_id FROM t JOIN n USING (rec_id) WHERE c * 5 >= n_words * 2",
     "p6_shares": _RUNS + "SELECT t.rec_id, n_words::INT AS n_words, round(coalesce(c, 0) / greatest(n_words, 1), 6) AS repeated_share FROM t LEFT JOIN n USING (rec_id)",
     "p9_found": _RATES + "SELECT source FROM q WHERE max_repeats * tokens < target_weight * total",
-    "p9_mix": _RATES + "SELECT doc_id, source, tokens, copies FROM d WHERE copies > 0",
+    "p9_mix": _RATES + "SELECT doc_id, source, tokens, unnest(range(1, copies + 1))::INT AS copy FROM d WHERE copies > 0",
     "p9_shares": _RATES + "SELECT q.source, target_weight, tokens, round(rate, 6) AS rate, coalesce(g, 0)::BIGINT AS mixed_tokens, "
     "round(coalesce(g, 0) / greatest(sum(coalesce(g, 0)) OVER (), 1), 6) AS actual_share FROM q LEFT JOIN (SELECT source, sum(tokens * copies) AS g FROM d GROUP BY 1) USING (source)",
 }

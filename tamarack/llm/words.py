@@ -1,11 +1,7 @@
-"""Word lists. Frequent words of five languages, and words of selling as shopping spam uses them."""
+"""Word lists. Frequent words of five languages."""
 
 from __future__ import annotations
 
-import numpy as np
-
-from tamarack.llm.arrays import TextBatch, member, span_hash
-
 #: A few dozen function words of each language, in the order of a usual frequency list.
 FUNCTION_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor".split(),
@@ -14,68 +10,3 @@ FUNCTION_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec mais ou on son aux d une été cette elle à leur comme nous si même sans".split(),
     "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo".split(),
 }
-
-
-class Phrases:
-    """Phrases of one to three words, found anywhere in a batch; also written together, as in tags."""
-
-    def __init__(self, phrases: list[str]):
-        self.by: dict[int, np.ndarray] = {}
-        found: dict[int, set] = {}
-        for p in phrases:
-            b = TextBatch([p])
-            n = len(b.word_hash)
-            whole = span_hash(b.word_hash, np.array([0]), np.array([n]))[0] if n > 1 else b.word_hash[0]
-            found.setdefault(n, set()).add(int(whole))
-            if n > 1:
-                found.setdefault(1, set()).add(int(TextBatch([p.replace(" ", "").replace("'", "")]).word_hash[0]))
-        self.by = {n: np.array(sorted(v), np.uint64) for n, v in found.items()}
-
-    def cover(self, b: TextBatch) -> np.ndarray:
-        """Whether each word of the batch lies in one of the phrases."""
-        out = member(b.word_hash, self.by.get(1, np.zeros(0, np.uint64)))
-        for n, table in self.by.items():
-            if n > 1:
-                at, h = b.ngram_hash(n)
-                at = at[member(h, table)]
-                for k in range(n):
-                    out[at + k] = True
-        return out
-
-
-#: Words of selling.
-SALE_PHRASES = [
-    # English
-    "original", "online", "near me", "free delivery", "wholesale", "best price", "buy", "discount", "sale", "order now", "top quality",
-    "cheap", "deal", "deals", "outlet", "free shipping", "low price", "buy now", "shop now", "coupon", "clearance", "bargain",
-    # German
-    "kaufen", "billig", "günstig", "angebot", "rabatt", "schnäppchen", "versandkostenfrei", "bester preis", "jetzt bestellen",
-    "großhandel", "qualität", "im netz", "ausverkauf", "gutschein", "bestellen", "sonderangebot",
-    # French
-    "acheter", "pas cher", "promo", "remise", "soldes", "commander", "livraison gratuite", "meilleur prix", "en ligne", "qualité",
-    "grossiste", "boutique en ligne", "bon plan",
-    # Spanish
-    "comprar", "barato", "oferta", "descuento", "rebajas", "en línea", "envío gratis", "mejor precio", "pedir ahora", "mayorista",
-    "calidad", "cerca de mí", "cupón",
-    # Portuguese
-    "desconto", "promoção", "saldos", "em linha", "portes grátis", "melhor preço", "encomendar já", "grossista", "qualidade", "perto de mim",
-]
-
-#: Wares that shopping spam names.
-PRODUCT_PHRASES = [
-    # English
-    "loan offer", "winter jacket", "garden lamp", "boots", "desk chair", "printer ink", "phone case", "mattress", "sofa cover",
-    "vitamin drops", "wrist watch", "sandals", "bicycle helmet", "car tyres", "sku",
-    # German
-    "kredit", "winterjacke", "gartenlampe", "stiefel", "bürostuhl", "druckerpatrone", "handyhülle", "matratze", "sofabezug",
-    "vitamintropfen", "armbanduhr", "sandalen", "fahrradhelm", "autoreifen",
-    # French
-    "crédit rapide", "veste d'hiver", "lampe de jardin", "bottes", "chaise de bureau", "cartouche d'encre", "coque de téléphone",
-    "matelas", "housse de canapé", "vitamines", "montre", "sandales", "casque vélo", "pneus",
-    # Spanish
-    "préstamo", "chaqueta de invierno", "lámpara de jardín", "botas", "silla de oficina", "tinta de impresora", "funda de móvil",
-    "colchón", "funda de sofá", "vitaminas", "reloj", "sandalias", "casco de bici", "neumáticos",
-    # Portuguese
-    "empréstimo", "casaco de inverno", "candeeiro de jardim", "cadeira de escritório", "tinteiro", "capa de telemóvel", "colchão",
-    "capa de sofá", "relógio", "sandálias", "capacete",
-]

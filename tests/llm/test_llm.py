@@ -60,7 +60,7 @@ def test_pages(spark):
     "op",
     [
         pages.stuffed_pages, pages.unprosaic_pages, pages.body_cuts, repeated_lines.repeated_lines, repetition.repetitive, forest.repeats,
-        lambda d: repetition.repetition(d), lambda d: pages.judged_curves(pages.page_table(d)), lambda d: language.languages(d),
+        lambda d: repetition.repetition(d), lambda d: pages.judged_curves(pages.quality(pages.page_table(d)).withColumn("pid", F.monotonically_increasing_id())), lambda d: language.languages(d),
         lambda d: encoding.repaired(d.withColumnRenamed("rec_id", "doc_id")),
         lambda d: leakage.leaked(d.withColumnRenamed("rec_id", "doc_id"), d.select(F.col("rec_id").alias("item_id"), "text").where("rec_id in (0, 1, 2, 3, 9)")),
     ],
@@ -90,6 +90,35 @@ def test_crf_learns_and_viterbi_is_best():
         assert tuple(got[a:z]) == max(product(range(3), repeat=z - a), key=score)
 
 
+def test_spam_of_any_words(spark):
+    """Keywords no list knows, in a language without a model; goods that prose speaks of are no keywords."""
+    prose = [PAGE.replace("weather service", f"small repairs and weather service {i}").replace("the river", f"river number{i}") for i in range(80)]
+    foreign = "\n".join(f"{a} {b} {w} Kal{i}" for i, (a, b, w) in enumerate([("prezzo", "basso", "tosaerba"), ("comprare", "subito", "lavatrice"), ("prezzo", "subito", "frigorifero")] * 14))
+    goods = "\n".join(f"- {i} kg small repairs Kal{i}" for i in range(40))
+    d = wet(spark, [*prose, foreign, goods])
+    assert ids(pages.stuffed_pages(d)) == [80] and ids(pages.unprosaic_pages(d)) == [80, 81]
+
+
+def test_long_notice():
+    """A line of any length keeps its word features."""
+    _, ids_, weight = Lines(TextBatch(["word " * 200, "word " * 30])).features
+    assert len(ids_) > 450 and weight.min() == 30 / 200
+
+
+def test_stretches(spark):
+    line = "The weather service has been honest since the autumn and nobody complained about it, mas o pão não está à mão da irmã e a menina foi para casa com os seus irmãos quando já era noite, and that is why we moved."
+    d = wet(spark, [PAGE.replace("It is not simple", line + "\nIt is not simple")])
+    r = language.languages(d).first()
+    got = [(x["lang"], line[x["start"] : x["end"]]) for x in r["segments"]]
+    assert r["lang"] == "en" and len(got) == 1 and got[0][0] == "pt" and "pão não está à mão da irmã e a menina foi para casa" in got[0][1]
+
+
+def test_other_language(spark):
+    d = wet(spark, [PAGE, "\n".join(["καλημέρα σε όλους τους ανθρώπους που διαβάζουν αυτή την εφημερίδα σήμερα το πρωί"] * 5), TABLE, "  ", None])
+    got = {r["rec_id"]: r["lang"] for r in language.languages(d).collect()}
+    assert got[0] == "en" and got[1] == "und" and set(got) == {0, 1, 2}
+
+
 def test_rules():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))
@@ -221,6 +250,18 @@ def test_leakage(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     it = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id bigint, text string")
     assert {tuple(r) for r in leakage.leaked(d, it).collect()} == {(0, 7), (2, 7), (4, 7), (5, 7)}
+    m = {r["doc_id"]: r for r in leakage.matches(d, it, most=1).collect()}
+    assert texts[0][m[0]["start"] : m[0]["start"] + m[0]["length"]] == " ".join(w[5:17]).upper() and m[0]["words"] == 12 and m[2]["whole"]
+    assert texts[4][m[4]["start"] :].startswith("token10</b>") and m[4]["words"] == 20
+    assert ids(leakage.cleaned(d, it), "doc_id") == [1, 3, 6, 7]
+
+
+def test_leakage_short_item_widens_nothing():
+    """A short item is found, and a long one is still located by all its leading characters."""
+    long_ = " ".join(f"word{i}" for i in range(30))
+    items = leakage.Items([1, 2], ["a b c", long_])
+    assert {(d, i) for d, i, *_ in items.found_in(["x a b c y", long_ + " end", "a b d"])} == {(0, 1), (1, 2)}
+    assert (items.high[0][-1] - items.low[0][-1]) == 0
 
 
 def test_mixing(spark):
@@ -228,8 +269,8 @@ def test_mixing(spark):
     t = spark.createDataFrame([("a", 0.3, 2), (" B", 0.7, 1), ("gone", 0.1, 9)], "source string, target_weight double, max_repeats int")
     assert ids(mixing.unreachable(d, t), "source") == ["b", "gone"]
     m = mixing.mixed(d, t).collect()
-    assert {r["source"] for r in m} == {"a", "b"} and max(r["copies"] for r in m) <= 2
-    assert abs(sum(r["copies"] for r in m if r["source"] == "a") / (0.3 * 300) - 1) < 0.25
+    assert {r["source"] for r in m} == {"a", "b"} and max(r["copy"] for r in m) <= 2
+    assert abs(sum(r["source"] == "a" for r in m) / (0.3 * 300) - 1) < 0.25
     assert mixing.mixed(d.limit(0), t).count() == 0 and mixing.shares(d, t.limit(0)).count() == 0
 
 
