@@ -1,37 +1,44 @@
 """Problem 2: new batches against all history, by a prefix-tree hash forest.
 
 Signature: LEVELS minhashes of a text's five-word shingles for each of TREES permutations, 12 bits each, packed into one
-number, so that a tree is a sorted run of numbers and a prefix of d minhashes is a range of it. The forest keeps, in the
-shared folder: entries (key of the text, signature, shingles), the trees' runs in sorted order, the verdict on each
-entry and the pairs found. A batch reads none of the earlier texts: its entries are located in the runs by prefix. The
-prefix starts at all levels and is widened until the chance to meet a text of the required similarity in some tree
-reaches RECALL. Met pairs whose signatures are too far apart for the required similarity (4.5 standard deviations) are
-dropped, all others are verified on their whole shingle sets.
-
-Exact copies (same words) form classes; only a class's first record enters the trees. A bucket of more than HOT entries
-is never squared: its least entry is verified against all others, and as long as more than HOT of them are then without
-verdict the next follows; what is left is joined with the whole bucket. ``merge_runs`` sorts all runs of a tree into one.
+number, so that a tree is a sorted run of numbers and a prefix of d minhashes is a range of it. The forest keeps, in a shared
+folder: entries (key of the text, shingles), the trees' runs in sorted order, cut into slots by the leading bits, the verdict on each
+entry and the pairs found. A manifest says which runs count; a run is in it or not at all, and the folder can be opened again by
+another session. A batch reads none of the earlier texts: its entries are located in the runs by the range of their prefix.
+Slots that no entry of the batch falls in are not read, and of the others only the ranges it hits are moved. The prefix starts at
+all levels and is widened until the chance to meet a text of the required similarity in some tree reaches RECALL. All met pairs
+whose sizes allow the similarity are verified on their whole shingle sets.
+
+Exact copies (same words) form classes; only a class's first record enters the trees. A range of more than HOT entries is
+never squared: its least entry is verified against all others, and as long as more than HOT of them are then without
+verdict the next follows. What is still open after ROUNDS such rounds is cut up anew, by shingles: two texts with four fifths of
+the longer one in common share one of the rarest fifth (and one) of their shingles, so nothing is lost. ``merge_runs`` sorts all runs of a tree into one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarack.llm.arrays import TextBatch, mapped, mix
-from tamarack.plans.stage import cut, fresh_path
+from tamarack.plans.stage import Manifest, fresh_path, remove, written
 
 SHINGLE = 5
-TREES, LEVELS, BITS = 20, 5, 12
+TREES, LEVELS, BITS = 21, 5, 12
 SIMILAR = 0.8
 """Shared shingles over those of the longer text."""
 RECALL = 0.99
-NEAREST = 0.69
-"""Jaccard similarity for which RECALL is asked: two texts of like length with 0.82 in common."""
-HOT = 64
+NEAREST = SIMILAR / (2 - SIMILAR)
+"""Jaccard similarity for which RECALL is asked: the least that two texts with SIMILAR in common can have."""
+HOT, ROUNDS = 64, 6
 BROADCAST_IDS = 400_000
 """Ids up to this number are broadcast to pick entries; beyond it the entries are shuffled."""
+SLOT_ROWS, MOST_SLOTS = 1_000_000, 256
+"""Rows a slot of a run should hold, and the most slots of a tree."""
 
 
 def depth(recall: float = RECALL, jaccard: float = NEAREST) -> int:
@@ -82,7 +89,7 @@ def signature(b: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def entries(df: DataFrame) -> DataFrame:
-    """(rec_id, batch_id, h, n_words, keys, shingles) of each record with at least one word.
+    """(rec_id, h, n_words, keys, shingles) of each record with at least one word.
 
     Null texts, empty texts and texts without a word are no entries.
     """
@@ -96,68 +103,92 @@ def entries(df: DataFrame) -> DataFrame:
         sizes = (ends - starts)[live]
         sh = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(val.astype(np.uint32).view(np.int32), pa.int32()))
         ks = pa.ListArray.from_arrays(pa.array(np.arange(len(live) + 1) * TREES, pa.int32()), pa.array(keys[live].ravel(), pa.int64()))
-        return [kept[0].take(live), kept[1].take(live), whole[live].view(np.int64), words[live], ks, sh]
-
-    return mapped(df, "text", ["rec_id", "batch_id"], "rec_id bigint, batch_id int, h bigint, n_words int, keys array<bigint>, shingles array<int>", make)
+        return [kept[0].take(live), whole[live].view(np.int64), words[live], ks, sh]
 
+    return mapped(df, "text", ["rec_id"], "rec_id bigint, h bigint, n_words int, keys array<bigint>, shingles array<int>", make)
 
-def _levels(x: str, y: str) -> str:
-    """Minhashes that two signatures share."""
-    masks = [((1 << BITS) - 1) << BITS * k for k in range(LEVELS)]
-    hit = " + ".join(f"CAST((p & {m}L) = 0 AS INT)" for m in masks)
-    return f"aggregate(zip_with({x}, {y}, (u, v) -> u ^ v), 0, (a, p) -> a + {hit})"
 
-
-LEAST_LEVELS = int(TREES * LEVELS * (SIMILAR / (2 - SIMILAR) - 4.5 * (0.667 * 0.333 / (TREES * LEVELS)) ** 0.5))
+_PAIR = "a bigint, b bigint"
+_STORE = "rec_id bigint, shingles array<int>"
+_KNOWN = "h bigint, n_words int, rec_id bigint"
 
 
 class Forest:
-    """A forest in a folder of its own; ``add`` takes batch after batch, in the order of arrival."""
+    """A forest in a folder of its own; ``add`` takes batch after batch, in the order of arrival, in one session or many."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, hot: int = HOT):
-        self.spark, self.hot = spark, hot
+    def __init__(self, spark: SparkSession, folder: str | None = None, hot: int = HOT, rounds: int = ROUNDS):
+        self.spark, self.hot, self.rounds = spark, hot, rounds
         self.folder = folder or fresh_path(spark, "forest")
-        self.runs: list[int] = []
-        self.next = 0
-
-    def _read(self, what: str, runs: list[int]) -> DataFrame | None:
-        return self.spark.read.parquet(*(f"{self.folder}/{what}/run={r}" for r in runs)) if runs else None
-
-    def _save(self, df: DataFrame, what: str, run: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{what}/run={run}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{what}/run={run}")
+        self.manifest = Manifest(spark, self.folder)
+        self.version, state = self.manifest.read()
+        self.runs: list[dict] = state.get("runs", [])
+
+    def _read(self, what: str, schema: str | None = None, runs: list[dict] | None = None) -> DataFrame:
+        runs = self.runs if runs is None else runs
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        parts = [self.spark.read.parquet(f"{self.folder}/{what}/{r['name']}") for r in runs]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _save(self, df: DataFrame, what: str, run: dict, by: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{what}/{run['name']}"
+        w = df.write.mode("errorifexists")
+        (w.partitionBy(by) if by else w).parquet(path)
+        return self.spark.read.parquet(path) if by else self.spark.read.schema(df.schema).parquet(path)
 
     # candidates
 
-    def _met(self, members: DataFrame, verify) -> DataFrame:
-        """Verified pairs (a, b), a < b and b new, that share a bucket. members: tree, prefix, rec_id, is_new."""
-        bucket = ["tree", "prefix"]
-        size = members.groupBy(*bucket).agg(F.count("*").alias("m"), F.max("is_new").alias("any_new")).where("m > 1 AND any_new")
-        kept = cut(members.join(size, bucket).select(*bucket, "rec_id", "is_new", "m"))
+    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Different pairs (a, b), a < b and b new, of the same bucket whose sizes allow the similarity."""
+        x = left.select("tree", "prefix", F.col("rec_id").alias("x"), F.col("n").alias("xs"), F.col("is_new").alias("xn"))
+        y = right.select("tree", "prefix", F.col("rec_id").alias("y"), F.col("n").alias("ys"), F.col("is_new").alias("yn"))
+        p = x.join(y, ["tree", "prefix"]).where(f"x <> y AND CASE WHEN x < y THEN yn ELSE xn END AND least(xs, ys) >= {SIMILAR}D * greatest(xs, ys)")
+        return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-        def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-            x = left.select(*bucket, F.col("rec_id").alias("x"), F.col("is_new").alias("xn"))
-            y = right.select(*bucket, F.col("rec_id").alias("y"), F.col("is_new").alias("yn"))
-            p = x.join(y, bucket).where("x <> y AND CASE WHEN x < y THEN yn ELSE xn END")
-            return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def _met(self, members: DataFrame, store: DataFrame, last: bool = False) -> DataFrame:
+        """Verified pairs (a, b) that share a bucket. members: tree, prefix, rec_id, n, is_new, is_open.
 
+        A pair of two entries that are not open is not looked at. ``last``: rounds go on until nothing is open.
+        """
+        bucket = ["tree", "prefix"]
+        size = members.groupBy(*bucket).agg(F.count("*").alias("m"), F.max("is_new").alias("any_new"), F.max("is_open").alias("any_open"))
+        kept = written(members.join(size.where("m > 1 AND any_new AND any_open").select(*bucket, "m"), bucket), "members")
         small = kept.where(F.col("m") <= self.hot)
-        found = verify(pairs(small, small.where("is_new")))
+        found = self._verify(store, self._pairs(small, small.where("is_new")).unionByName(self._pairs(small.where("is_open"), small)).distinct() if last else self._pairs(small, small.where("is_new")))
         hot = kept.where(F.col("m") > self.hot)
         if hot.isEmpty():
             return found
-        # Without verdict: entries of a hot bucket that nothing earlier is known to equal.
-        open_ = hot.join(found.select(F.col("b").alias("rec_id")).distinct(), "rec_id", "left_anti")
-        for _ in range(20):
+        # Open: entries of a hot bucket that nothing earlier is known to equal, so that others may repeat them.
+        open_ = hot.where("is_open").join(found.select(F.col("b").alias("rec_id")).distinct(), "rec_id", "left_anti")
+        done = 0
+        while True:
             per = open_.groupBy(*bucket).agg(F.count("*").alias("c"), F.min("rec_id").alias("rec_id"))
-            lead = open_.join(per.where(F.col("c") > self.hot).select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_semi")
+            lead = written(open_.join(per.where(F.col("c") > (0 if last else self.hot)).select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_semi"), "leads")
             if lead.isEmpty():
                 break
-            got = verify(pairs(lead, hot))
-            found = cut(found.unionByName(got).distinct())
-            done = got.select(F.col("b").alias("rec_id")).distinct()
-            open_ = cut(open_.join(lead.select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_anti").join(done, "rec_id", "left_anti"))
-        return found.unionByName(verify(pairs(open_, hot))).distinct()
+            if done == self.rounds and not last:
+                sub = self._by_rare_shingles(hot, open_, store)
+                return found.unionByName(self._met(sub, store, True)).distinct()
+            got = self._verify(store, self._pairs(lead, hot))
+            found = written(found.unionByName(got).distinct(), "found")
+            settled = got.select(F.col("b").alias("rec_id")).distinct()
+            open_ = written(open_.join(lead.select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_anti").join(settled, "rec_id", "left_anti"), "open")
+            done += 1
+        rest = open_ if not last else open_.limit(0)
+        return found.unionByName(self._verify(store, self._pairs(rest, hot))).distinct()
+
+    def _by_rare_shingles(self, hot: DataFrame, open_: DataFrame, store: DataFrame) -> DataFrame:
+        """The entries of hot buckets as members of a bucket for each of their rarest shingles."""
+        ids = hot.groupBy("rec_id").agg(F.max("n").alias("n"), F.max("is_new").alias("is_new"))
+        ids = ids.join(open_.select("rec_id").distinct().withColumn("is_open", F.lit(True)), "rec_id", "left").fillna(False, ["is_open"])
+        long = written(store.join(ids, "rec_id").select("rec_id", "n", "is_new", "is_open", F.explode("shingles").alias("s")), "shingles")
+        often = long.groupBy("s").agg(F.count("*").alias("f"))
+        w = W.partitionBy("rec_id").orderBy("f", "s")  # one record's shingles
+        rare = long.join(often, "s").withColumn("r", F.row_number().over(w)).where(f"r <= n - ceil({SIMILAR}D * n) + 1")
+        return rare.select(F.lit(-1).alias("tree"), F.col("s").cast("long").alias("prefix"), "rec_id", "n", "is_new", "is_open")
 
     def _pick(self, table: DataFrame, ids: DataFrame) -> DataFrame:
         """Rows of ``table`` with these ids, without a shuffle of the table where the ids are few."""
@@ -166,66 +197,95 @@ class Forest:
 
     def _verify(self, store: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs that share at least SIMILAR of the longer text's shingles."""
-        pairs = cut(pairs)
-        ids = pairs.select(F.col("a").alias("rec_id")).union(pairs.select(F.col("b").alias("rec_id"))).distinct()
-        near = cut(self._pick(store.select("rec_id", "keys"), ids))
-        p = pairs.join(near.select(F.col("rec_id").alias("a"), F.col("keys").alias("ka")), "a").join(
-            near.select(F.col("rec_id").alias("b"), F.col("keys").alias("kb")), "b"
-        )
-        p = cut(p.where(F.expr(_levels("ka", "kb")) >= LEAST_LEVELS).select("a", "b"))
-        ids = p.select(F.col("a").alias("rec_id")).union(p.select(F.col("b").alias("rec_id"))).distinct()
-        full = cut(self._pick(store.select("rec_id", "shingles"), ids))
+        p = written(pairs, "met")
+        ids = written(p.select(F.col("a").alias("rec_id")).union(p.select(F.col("b").alias("rec_id"))).distinct(), "ids")
+        full = written(self._pick(store, ids), "picked")
         p = p.join(full.select(F.col("rec_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
             full.select(F.col("rec_id").alias("b"), F.col("shingles").alias("sb")), "b"
         )
-        return cut(p.where(F.expr("size(array_intersect(sa, sb)) >= 0.8D * greatest(size(sa), size(sb))")).select("a", "b"))
+        return written(p.where(F.expr(f"size(array_intersect(sa, sb)) >= {SIMILAR}D * greatest(size(sa), size(sb))")).select("a", "b"), "verified")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Checks a batch against all that was accepted and against itself, and accepts it.
 
-        Returns (rec_id_a, rec_id_b): b of this batch repeats a, and a repeats no earlier record. rec_id must be unique
-        and grow from batch to batch.
+        Returns (rec_id_a, rec_id_b): b of this batch repeats a, and a repeats no earlier record. rec_id must be unique and
+        grow from batch to batch, which is checked (ValueError). Null, empty and wordless texts are accepted and match nothing; a
+        batch without entries adds no run.
         """
-        run, old = self.next, list(self.runs)
-        new = self._save(entries(batch), "entries", run)
+        run = {"name": f"run-{self.version:06d}-{uuid.uuid4().hex[:8]}"}
+        new = self._save(entries(batch.where("rec_id IS NOT NULL")), "raw", run)
+        figures = new.agg(F.count("*").alias("n"), F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")).first()
+        if not figures["n"]:
+            return self.spark.createDataFrame([], "rec_id_a bigint, rec_id_b bigint")
+        if self.runs and figures["lo"] <= max(r["hi"] for r in self.runs):
+            raise ValueError("rec_id must be above those of all earlier batches")
+        run["hi"] = figures["hi"]
+        known = self._read("classes", _KNOWN)
         head = new.groupBy("h", "n_words").agg(F.min("rec_id").alias("rec_id"))
-        known = self._read("classes", old)
-        known = known if known is not None else self.spark.createDataFrame([], "h bigint, n_words int, rec_id bigint")
         classes = self._save(head.join(known, ["h", "n_words"], "left_anti").select("h", "n_words", "rec_id"), "classes", run)
-        tree = new.join(classes.select("rec_id"), "rec_id", "left_semi").select("rec_id", F.posexplode("keys").alias("tree", "key"))
-        tree = self._save(tree.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key"), "trees", run)
-        members = tree.withColumn("is_new", F.lit(True))
-        before = self._read("trees", old)
-        if before is not None:
-            members = members.unionByName(before.withColumn("is_new", F.lit(False)))
+        heads_of = new.join(classes.select("rec_id"), "rec_id", "left_semi")
+        # Slots are ranges of the leading bits; a power of two, so that slots of runs of any size nest.
+        slots = 1
+        while slots < MOST_SLOTS and slots * SLOT_ROWS < figures["n"]:
+            slots *= 2
+        run["slots"] = slots
+        bits = BITS * LEVELS - (slots.bit_length() - 1)
+        tree = heads_of.select("rec_id", F.size("shingles").alias("n"), F.posexplode("keys").alias("tree", "key"))
+        tree = tree.withColumn("slot", F.col("tree") * slots + F.shiftright("key", bits).cast("int"))
+        tree = self._save(tree.repartitionByRange("slot", "key").sortWithinPartitions("slot", "key"), "trees", run, "slot")
+        self._save(heads_of.select("rec_id", "shingles"), "entries", run)
         shift = BITS * (LEVELS - depth())
-        members = members.select("tree", F.shiftright("key", shift).alias("prefix"), "rec_id", "is_new")
-        store = self._read("entries", [*old, run])
-        similar = self._save(self._met(members, lambda p: self._verify(store, p)), "similar", run)
+        prefixed = lambda t: t.select("tree", F.shiftright("key", shift).alias("prefix"), "rec_id", "n")
+        members = prefixed(tree).withColumns({"is_new": F.lit(True), "is_open": F.lit(True)})
+        if self.runs:
+            # The ranges the batch hits: slots that none falls in are not opened, and of the rest only hits are moved.
+            hit = written(members.select("tree", "prefix").distinct(), "ranges")
+            old = None
+            for r in self.runs:
+                own = BITS * LEVELS - (r["slots"].bit_length() - 1) - shift
+                wanted = [x[0] for x in hit.select((F.col("tree") * r["slots"] + F.shiftright("prefix", own).cast("int")).alias("s")).distinct().collect()]
+                part = prefixed(self._read("trees", runs=[r]).where(F.col("slot").isin(wanted)))
+                old = part if old is None else old.unionByName(part)
+            few = hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+            old = old.join(F.broadcast(hit) if few else hit, ["tree", "prefix"], "left_semi")
+            members = members.unionByName(old.withColumns({"is_new": F.lit(False), "is_open": F.lit(True)}))
+        store = self._read("entries", runs=[*self.runs, run])
+        similar = self._met(members, store)
         later = similar.select(F.col("b").alias("rec_id")).distinct()
         verdict = classes.select("rec_id").join(later.withColumn("hit", F.lit(True)), "rec_id", "left").select("rec_id", F.col("hit").isNull().alias("original"))
-        self._save(verdict, "verdicts", run)
-        self.runs, self.next = [*old, run], run + 1
+        verdict = self._save(verdict, "verdicts", run)
         # Pairs of class heads with originals; every other member of a class repeats the same, and its head.
-        original = self._read("verdicts", self.runs).where("original").select("rec_id")
-        heads = self._save(similar.join(original.withColumnRenamed("rec_id", "a"), "a", "left_semi"), "heads", run)
-        heads = self._read("heads", self.runs) if old else heads
-        member = new.select(F.col("rec_id").alias("rec_id_b"), "h", "n_words").join(
-            known.unionByName(classes).withColumnRenamed("rec_id", "head"), ["h", "n_words"]
-        )
-        own = member.where("rec_id_b <> head").join(original.withColumnRenamed("rec_id", "head"), "head", "left_semi")
+        first = lambda v: v.where("original").select("rec_id")
+        original = first(self._read("verdicts", "rec_id bigint, original boolean").unionByName(verdict))
+        own_heads = self._save(similar.join(original.withColumnRenamed("rec_id", "a"), "a", "left_semi").select("a", "b"), "heads", run)
+        heads = self._read("heads", _PAIR).unionByName(own_heads)
+        member = new.select(F.col("rec_id").alias("rec_id_b"), "h", "n_words").join(known.unionByName(classes).withColumnRenamed("rec_id", "head"), ["h", "n_words"])
+        same = member.where("rec_id_b <> head").join(original.withColumnRenamed("rec_id", "head"), "head", "left_semi")
         via = member.join(heads.select(F.col("a").alias("rec_id_a"), F.col("b").alias("head")), "head")
-        return own.select(F.col("head").alias("rec_id_a"), "rec_id_b").unionByName(via.select("rec_id_a", "rec_id_b"))
+        out = self._save(same.select(F.col("head").alias("rec_id_a"), "rec_id_b").unionByName(via.select("rec_id_a", "rec_id_b")), "results", run)
+        self._commit([*self.runs, run])
+        remove(self.spark, f"{self.folder}/raw/{run['name']}")
+        return out
+
+    def _commit(self, runs: list[dict]) -> None:
+        self.version = self.manifest.commit(self.version, {"runs": runs})
+        self.runs = runs
 
     def merge_runs(self) -> None:
-        """Sorts the runs of the trees, and with them all else that is kept, into one."""
+        """Sorts the runs of the trees, and with them all else that is kept, into one. Readers see the old runs or the new one."""
         if len(self.runs) < 2:
             return
-        run = self.next
-        for what in ("entries", "classes", "similar", "verdicts", "heads"):
-            self._save(self._read(what, self.runs), what, run)
-        self._save(self._read("trees", self.runs).repartitionByRange("tree", "key").sortWithinPartitions("tree", "key"), "trees", run)
-        self.runs, self.next = [run], run + 1
+        old, slots = self.runs, max(r["slots"] for r in self.runs)
+        run = {"name": f"run-{self.version:06d}-{uuid.uuid4().hex[:8]}", "hi": max(r["hi"] for r in old), "slots": slots}
+        for what in ("entries", "classes", "verdicts", "heads"):
+            self._save(self._read(what), what, run)
+        bits = BITS * LEVELS - (slots.bit_length() - 1)
+        tree = self._read("trees").withColumn("slot", F.col("tree") * slots + F.shiftright("key", bits).cast("int"))
+        self._save(tree.repartitionByRange("slot", "key").sortWithinPartitions("slot", "key"), "trees", run, "slot")
+        self._commit([run])
+        for r in old:
+            for what in ("entries", "classes", "verdicts", "heads", "trees"):
+                remove(self.spark, f"{self.folder}/{what}/{r['name']}")
 
 
 def repeats(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -237,3 +297,21 @@ def repeats(df: DataFrame, folder: str | None = None) -> DataFrame:
     old = F.coalesce("batch_id", F.lit(0)) <= 0
     forest.add(df.where(old))
     return forest.add(df.where(~old))
+
+
+def batch_by_batch(df: DataFrame, folder: str | None = None, merge_after: int = 3) -> DataFrame:
+    """The same, each batch by a forest opened anew from the folder; every ``merge_after`` batches the runs are merged.
+
+    Batches are few: their numbers come to the driver. Results of a batch do not depend on those after it.
+    """
+    spark = df.sparkSession
+    folder = folder or fresh_path(spark, "forest")
+    batch = F.greatest(F.coalesce("batch_id", F.lit(0)), F.lit(0))
+    out = spark.createDataFrame([], "rec_id_a bigint, rec_id_b bigint")
+    for i, k in enumerate(sorted(r[0] for r in df.select(batch.alias("k")).distinct().collect())):
+        forest = Forest(spark, folder)
+        got = forest.add(df.where(batch == k))
+        out = out.unionByName(got) if k else out
+        if (i + 1) % merge_after == 0:
+            forest.merge_runs()
+    return out

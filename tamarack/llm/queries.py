@@ -31,6 +31,11 @@ def p2_found(spark, d):
     return forest.repeats(table(spark, d, "wet_documents"))
 
 
+def p2_batches(spark, d):
+    """The same, batch after batch, each by a forest opened anew from its folder, runs merged in between."""
+    return forest.batch_by_batch(table(spark, d, "wet_documents"))
+
+
 def p3_found(spark, d):
     """rec_id, line_no of furniture lines."""
     return pages.body_cuts(table(spark, d, "wet_documents"))
@@ -120,7 +125,7 @@ def p10_restored(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p2_found, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p6_ratios, p7_found, p7_languages, p8_found, p8_matches, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p1_found, p1_curves, p2_found, p2_batches, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p6_ratios, p7_found, p7_languages, p8_found, p8_matches, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"

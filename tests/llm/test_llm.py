@@ -129,7 +129,7 @@ def test_rules():
     assert rules.to_sql([], []) == "0"
 
 
-def test_forest_against_brute_force(spark):
+def test_forest_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(400)]
     texts = []
@@ -157,15 +157,44 @@ def test_forest_against_brute_force(spark):
     want = {(a, b) for a, b in near if a not in later and rows[b][1] > 0}
     got = {tuple(r) for r in forest.repeats(d).collect()}
     assert got == want
-    f = forest.Forest(spark, hot=3)
-    step = set()
+    folder, step = str(tmp_path / "forest"), set()
     for k in sorted({r[1] for r in rows}):
+        f = forest.Forest(spark, folder, hot=3, rounds=1)  # opened anew, as by another session
         pairs = {tuple(r) for r in f.add(d.where(F.col("batch_id") == k)).collect()}
         step |= pairs if k else set()
         if k == 2:
             f.merge_runs()
+            assert len(forest.Forest(spark, folder).runs) == 1
     assert step == want
-    assert forest.depth(0.99) < forest.LEVELS and forest.depth(1.1) == 1
+    with pytest.raises(ValueError):
+        forest.Forest(spark, folder).add(d.where("batch_id = 0"))
+    assert {tuple(r) for r in forest.batch_by_batch(d).collect()} == want
+    assert forest.depth(0.99) < forest.LEVELS and forest.depth(1.1) == 1 and 1 - (1 - forest.NEAREST ** forest.depth()) ** forest.TREES >= 0.99
+
+
+def test_forest_two_writers(spark, tmp_path):
+    """Of two that start from the same state one fails, and nothing of it counts."""
+    d = spark.createDataFrame([(i, 0, f"some words of text number{i} that stand here alone {i}") for i in range(4)], "rec_id bigint, batch_id int, text string")
+    a, b = forest.Forest(spark, str(tmp_path / "f")), forest.Forest(spark, str(tmp_path / "f"))
+    a.add(d)
+    with pytest.raises(FileExistsError):
+        b.add(d)
+    assert len(forest.Forest(spark, str(tmp_path / "f")).runs) == 1
+
+
+def test_forest_hot_template(spark):
+    """Many texts of one template, too different to repeat each other, share all buckets; copies with a word changed among them."""
+    head = [f"head{i}" for i in range(60)]
+    texts = [" ".join([*head, *(f"u{i}x{k}" for k in range(25))]) for i in range(40)]
+    texts += [t.replace(f"u{i}x7", "other") for i, t in enumerate(texts[:12])]
+    d = spark.createDataFrame([(i, int(i >= 20), t) for i, t in enumerate(texts)], "rec_id bigint, batch_id int, text string")
+    s = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    near = {(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * max(len(s[a]), len(s[b]))}
+    later = {b for _, b in near}
+    want = {(a, b) for a, b in near if a not in later and b >= 20}
+    f = forest.Forest(spark, hot=4, rounds=1)
+    f.add(d.where("batch_id = 0"))
+    assert {tuple(r) for r in f.add(d.where("batch_id = 1")).collect()} == want and len(want) == 12
 
 
 def test_repeated_lines_against_brute_force(spark):
