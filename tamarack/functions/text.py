@@ -88,7 +88,7 @@ def _fingerprints(texts: Iterator[pd.Series], most: int | None) -> Iterator[pd.S
 
 @F.pandas_udf(T.LongType())
 def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """OP-D1, OP-F12: fingerprint of the first 200 words, as the reference has it."""
+    """OP-D1, OP-F12: fingerprint of the first 200 words."""
     yield from _fingerprints(texts, SIMHASH_TOKENS)
 
 

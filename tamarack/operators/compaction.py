@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarack.operators.index import Index, segment_bases
+from tamarack.operators.index import Index, segment_bases, with_local_ids
 
 MAX_PER_TIER = MERGE_FACTOR = 10
 
@@ -26,34 +26,24 @@ def merged_docs(docs: DataFrame, chosen: list[int]) -> DataFrame:
 
 
 def compact(index: Index, max_per_tier: int = MAX_PER_TIER, merge_factor: int = MERGE_FACTOR, tombstones: DataFrame | None = None) -> int | None:
-    """OP-K6: merges what ``merge_candidates`` picks into a new segment and removes the old; None if nothing is due.
+    """OP-K6: merges what ``merge_candidates`` picks by bytes into a new segment and removes the old; None if nothing is due.
 
     Postings are moved, not made anew: global ids stay what they are, frequencies and lengths are taken over, statistics
-    are counted again. ``tombstones`` (doc_id) are left behind.
+    are counted again. ``tombstones`` (doc_id) are left behind. Readers see the old segments or the new one, never both; the old
+    files stay for those who still read them, until ``Index.purge``.
     """
-    seg = index.table("segments").withColumn("size_bytes", F.col("total_postings"))
+    version, state = index.state()
+    if not state["segments"]:
+        return None
+    seg = index.table("segments")
     chosen = [r["segment_id"] for r in merge_candidates(seg, max_per_tier, merge_factor).select("segment_id").collect()]
     if not chosen:
         return None
-    gen = index.table("segments").where(F.col("segment_id").isin(chosen)).agg(F.max("merge_gen")).first()[0] + 1
-    sid = max(index.segment_ids()) + 1
-    docs = index.table("docs").where(F.col("segment_id").isin(chosen)).drop("segment_id")
-    post = index.table("postings").where(F.col("segment_id").isin(chosen)).drop("segment_id")
+    gen = seg.where(F.col("segment_id").isin(chosen)).agg(F.max("merge_gen")).first()[0] + 1
+    docs = index.table("docs", chosen).drop("local_id").withColumn("segment_id", F.lit(0))
+    post = index.table("postings", chosen).drop("term_bucket").withColumn("segment_id", F.lit(0))
     if tombstones is not None:
         docs = docs.join(tombstones.select("doc_id"), "doc_id", "left_anti")
         post = post.join(tombstones.select("doc_id"), "doc_id", "left_anti")
-    index._write(docs, "docs", sid)
-    post.repartition("term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id").write.mode("overwrite").partitionBy("term_bucket").option(
-        "parquet.bloom.filter.enabled#term", "true"
-    ).parquet(f"{index.path}/postings/segment_id={sid}")
-    from tamarack.operators.index import term_stats
-
-    got, d = index._read_one("postings", sid), index._read_one("docs", sid)
-    f = d.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("a"), F.coalesce(F.min("dl"), F.lit(0)).alias("m")).first()
-    num = got.agg(F.count("*").alias("p"), F.countDistinct("term").alias("t")).first()
-    row = [(f["n"], num["t"], f["a"], num["p"], gen, f["m"])]
-    segment = index.spark.createDataFrame(row, "num_docs bigint, num_terms bigint, avg_doc_len double, total_postings bigint, merge_gen int, min_dl int")
-    index._write(term_stats(got.withColumn("segment_id", F.lit(0)), segment.withColumn("segment_id", F.lit(0))).orderBy("term"), "terms", sid)
-    index._write(segment, "segments", sid)
-    index.drop(chosen)
-    return sid
+    ids = index.put(version, state, with_local_ids(docs), post, gen, replaced=chosen)
+    return ids[0] if ids else None

@@ -47,16 +47,48 @@ def index_percentiles(df: DataFrame, value: str, by: list[str] | None = None, po
 
     p50 is at n // 2. Values are counted first, so that equal ones travel once, and places come from running counts.
     """
+    from tamarack.operators.index import running_offsets
+
     by = by or []
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    n = c.groupBy(*by).agg(F.sum("c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
-    w = W.partitionBy(*(by or [F.lit(1)])).orderBy(value)
-    c = c.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    j = c.join(n, by) if by else c.withColumn("_1", F.lit(1)).join(n.withColumn("_1", F.lit(1)), "_1")
+    c = c.withColumn("_g", F.struct(*by) if by else F.lit(0))
+    # Places come from sums over ranges of the values, so that no group is sorted in one task.
+    c = running_offsets(c, "_g", [value], F.col("c"), "lo").withColumn("hi", F.col("lo") + F.col("c"))
+    n = c.groupBy("_g").agg(F.sum("c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
     at = lambda p: F.floor(F.col("n") * F.lit(p))
-    return j.groupBy(*by).agg(
+    out = c.join(n, "_g").groupBy("_g", *by).agg(
         F.max("n").alias("n"), F.max("min").alias("min"), *(F.max(F.when((at(p) >= F.col("lo")) & (at(p) < F.col("hi")), F.col(value))).alias(name) for name, p in points), F.max("max").alias("max")
     )
+    return out.drop("_g")
+
+
+def holding(docs: DataFrame, items: DataFrame, lead: int = 8) -> DataFrame:
+    """(qid, doc_id, rel 1): documents (doc_id, text) that hold the text of an item (qid, text) word for word.
+
+    Documents and items meet by a hash of the item's first ``lead`` words, wherever they stand in the document, so texts are
+    compared only where these agree. An item whose words cannot be cut off at blanks (fewer than ``lead`` of them) is held
+    against all documents by its first word instead. Null and empty items are held by none.
+    """
+    from tamarack.plans.stage import written
+
+    words = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    it = written(items.where("text <> ''").withColumn("ws", words(F.col("text"))).withColumn("k", F.least(F.size("ws"), F.lit(lead))), "items")
+    out = None
+    for k in [r[0] for r in it.select("k").distinct().collect()]:  # at most ``lead`` lengths
+        # The outermost words may be parts of longer ones in the document: only those between are compared as words.
+        inner = max(k - 2, 0)
+        key = F.xxhash64(F.concat_ws(" ", F.slice("ws", 2, inner))) if inner else F.lit(0).cast("long")
+        own = it.where(F.col("k") == k).select("qid", F.col("text").alias("item"), key.alias("key"))
+        if not inner:
+            hit = docs.select("doc_id", "text").join(F.broadcast(own), F.col("text").contains(F.col("item")))  # one or two words: few items
+        else:
+            w = docs.select("doc_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= inner)
+            w = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - inner + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("ws", i, inner)))))).alias("key"))
+            met = w.join(own, "key").select("qid", "doc_id", "item")
+            hit = met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
+        hit = hit.select("qid", "doc_id", F.lit(1).alias("rel"))
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct() if out is not None else items.limit(0).select("qid", F.lit(0).cast("long").alias("doc_id"), F.lit(1).alias("rel"))
 
 
 def histogram(df: DataFrame, value: str, edges: tuple[float, ...] = LATENCY_BUCKETS) -> DataFrame:

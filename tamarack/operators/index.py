@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import tokens, vbyte_length
+from tamarack.plans.stage import Manifest, written
 
 K1, B = 1.2, 0.75
 MAX_TF = 255
@@ -78,17 +81,20 @@ def list_bytes(post: DataFrame) -> DataFrame:
     return g.select("segment_id", "term", "df", (F.col("body") + vbyte_length(F.col("df"))).alias("n_bytes"))
 
 
-def running_offsets(df: DataFrame, key: str, order: list[str], value: Column, name: str, parts: int = 64) -> DataFrame:
+RANGE_ROWS = 500_000
+
+
+def running_offsets(df: DataFrame, key: str, order: list[str], value: Column, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Exclusive running sum of ``value`` within ``key`` (OP-W3, OP-W6) without one task for a large group.
 
-    Rows are split into ranges of the order; sums of the ranges are few and give each range its start.
+    Rows are split into ranges of the order, of about ``range_rows`` each however many rows there are; sums of the ranges
+    are few and give each range its start.
     """
-    d = df.withColumn("_v", value.cast("long")).repartitionByRange(parts, key, *order).withColumn("_p", F.spark_partition_id())
-    from tamarack.plans.stage import cut
-
-    d = cut(d)
+    d = written(df.withColumn("_v", value.cast("long")), "values")
+    parts = max(1, -(-d.count() // range_rows))
+    d = written(d.repartitionByRange(parts, key, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     per = d.groupBy(key, "_p").agg(F.sum("_v").alias("_s"))
-    w = W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # at most ``parts`` rows a group
+    w = W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     per = per.select(key, "_p", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_base"))
     own = W.partitionBy(key, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return d.join(per, [key, "_p"]).withColumn(name, F.col("_base") + F.coalesce(F.sum("_v").over(own), F.lit(0))).drop("_p", "_v", "_base")
@@ -124,71 +130,103 @@ def segment_cut(docs: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
     return d.withColumn("segment_id", F.floor(F.col("_at") / threshold).cast("int")).drop("_k", "_at")
 
 
+def with_local_ids(docs: DataFrame) -> DataFrame:
+    """OP-W2: ``local_id``, 0, 1, 2 ... within each segment in the order of doc_id."""
+    return running_offsets(docs, "segment_id", ["doc_id"], F.lit(1), "local_id")
+
+
+#: Columns of a document in an index, beyond those of its segment.
+META = (("url", "string"), ("crawl_ts", "bigint"), ("content_hash", "bigint"), ("lang", "string"))
+
+
 class Index:
-    """An index in a folder: tables docs, postings, terms, segments, each with one directory for a segment."""
+    """An index in a folder: tables docs, postings, terms, segments, each with one directory for a segment.
+
+    A manifest says which segments count. Segment ids come from it and are never given twice, so no writer can meet another's
+    segment; a write that is not in the manifest does not exist for readers, and the swap of a compaction is one version.
+    """
 
     TABLES = ("docs", "postings", "terms", "segments")
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.manifest = Manifest(spark, self.path)
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+    def state(self) -> tuple[int, dict]:
+        """Version, and segments {id: attempt}, the next id and the batches taken in {batch: segment ids}."""
+        version, s = self.manifest.read()
+        return version, s or {"segments": {}, "next": 0, "batches": {}}
 
     def segment_ids(self) -> list[int]:
-        """OP-S7: segments present; none for a missing folder. Reads names only."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/segments")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("segment_id="))
+        """OP-S7: segments present; none for a missing folder."""
+        return sorted(map(int, self.state()[1]["segments"]))
 
-    def add(self, docs: DataFrame, segment_id: int | None = None, merge_gen: int = 0) -> int | None:
-        """OP-K1, OP-K4, OP-K5: writes a batch (doc_id, text and any of url, crawl_ts, content_hash, lang) as one segment.
+    def add(self, docs: DataFrame, batch: str | None = None, merge_gen: int = 0, threshold: int | None = None) -> list[int]:
+        """OP-K1, OP-K3 to K5: writes a batch (doc_id, text and any of META) as one segment, or as several of about
+        ``threshold`` bytes of tokens; the ids of the new segments.
 
-        A batch without rows writes nothing. The next id is one above the greatest present. The segment counts from the
-        moment its row in ``segments`` is written, which comes last.
+        A batch without rows writes nothing. ``batch`` names it: one that was taken in before is left alone, so that a stream
+        may repeat it.
         """
-        from tamarack.plans.stage import cut
-
-        if docs.isEmpty():
-            return None
-        ids = self.segment_ids()
-        sid = segment_id if segment_id is not None else (max(ids) + 1 if ids else 0)
-        for name, kind in (("url", "string"), ("crawl_ts", "bigint"), ("content_hash", "bigint"), ("lang", "string")):
+        version, state = self.state()
+        if batch is not None and batch in state["batches"]:
+            return state["batches"][batch]
+        for name, kind in META:
             if name not in docs.columns:
                 docs = docs.withColumn(name, F.lit(None).cast(kind))
-        d = cut(analyzed(docs.drop("segment_id")).select("segment_id", "doc_id", "url", "crawl_ts", "content_hash", "lang", "tokens", "dl"))
+        d = written(analyzed(docs.drop("segment_id")).select("doc_id", *(n for n, _ in META), "tokens", "dl"), "analyzed")
+        if d.isEmpty():
+            return []
+        if threshold is not None:
+            cut = segment_cut(d.select("doc_id", "dl"), threshold).select("doc_id", "segment_id")
+            d = d.join(cut, "doc_id")
+        else:
+            d = d.withColumn("segment_id", F.lit(0))
         t = d.select("segment_id", "doc_id", "dl", F.explode("tokens").alias("term"))
         post = t.groupBy("segment_id", "term", "doc_id", "dl").agg(F.least(F.count("*"), F.lit(MAX_TF)).cast("int").alias("tf"))
-        self._write(d.drop("tokens"), "docs", sid)
-        post = post.withColumn("term_bucket", self._bucket())
-        out = post.repartition("term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id").drop("segment_id")
-        out.write.mode("overwrite").partitionBy("term_bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.path}/postings/segment_id={sid}")
-        got = self._read_one("postings", sid)
-        seg = d.groupBy().agg(F.count("*").alias("num_docs"), F.avg("dl").alias("avg_doc_len"), F.min("dl").alias("min_dl"), F.coalesce(F.max(F.lit(merge_gen)), F.lit(0)).alias("merge_gen"))
-        figures = seg.first()
-        num = got.agg(F.count("*").alias("p"), F.countDistinct("term").alias("t")).first()
-        row = [(int(figures["num_docs"]), int(num["t"]), float(figures["avg_doc_len"]), int(num["p"]), int(figures["merge_gen"]), int(figures["min_dl"]))]
-        segment = self.spark.createDataFrame(row, "num_docs bigint, num_terms bigint, avg_doc_len double, total_postings bigint, merge_gen int, min_dl int")
-        stats = term_stats(got.withColumn("segment_id", F.lit(0)), segment.withColumn("segment_id", F.lit(0)))
-        self._write(stats.orderBy("term"), "terms", sid)
-        self._write(segment, "segments", sid)
-        return sid
-
-    def _write(self, df: DataFrame, table: str, sid: int) -> None:
-        df.drop("segment_id").write.mode("overwrite").parquet(f"{self.path}/{table}/segment_id={sid}")
-
-    def _read_one(self, table: str, sid: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}/segment_id={sid}")
-
-    def table(self, name: str) -> DataFrame:
-        """A table over the segments present, with ``segment_id``."""
-        ids = self.segment_ids()
+        return self.put(version, state, with_local_ids(d.drop("tokens")), post, merge_gen, batch)
+
+    def put(self, version: int, state: dict, docs: DataFrame, post: DataFrame, merge_gen: int, batch: str | None = None, replaced: list[int] = ()) -> list[int]:
+        """Writes documents and postings under new segment ids, counts them, and makes them the next version in place of ``replaced``."""
+        attempt, first = uuid.uuid4().hex[:12], state["next"]
+        moved = lambda df: df.withColumn("segment_id", F.col("segment_id") + first)
+        place = lambda t: f"{self.path}/{t}/attempt={attempt}"
+        moved(docs).write.mode("errorifexists").partitionBy("segment_id").parquet(place("docs"))
+        post = moved(post).withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        # A bucket of one segment is sorted by term; a frequent term is spread over ranges of its documents.
+        post = post.repartitionByRange("segment_id", "term_bucket", "term", "doc_id").sortWithinPartitions("segment_id", "term_bucket", "term", "doc_id")
+        post.write.mode("errorifexists").partitionBy("segment_id", "term_bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(place("postings"))
+        d, got = self._back(place("docs"), docs, "segment_id"), self._back(place("postings"), post, "segment_id", "term_bucket")
+        seg = d.groupBy("segment_id").agg(F.count("*").alias("num_docs"), F.avg("dl").alias("avg_doc_len"), F.min("dl").alias("min_dl"))
+        num = got.groupBy("segment_id", "term").agg(F.count("*").alias("df")).groupBy("segment_id").agg(F.count("*").alias("num_terms"), F.sum("df").alias("total_postings"))
+        seg = seg.join(num, "segment_id", "left").fillna(0, ["num_terms", "total_postings"]).withColumn("merge_gen", F.lit(merge_gen))
+        terms = term_stats(got, seg)
+        terms.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term").write.mode("errorifexists").partitionBy("segment_id").parquet(place("terms"))
+        ids = sorted(r[0] for r in seg.select("segment_id").collect())
+        sizes = F.create_map(*[F.lit(x) for i in ids for x in (i, sum(self._bytes(f"{place(t)}/segment_id={i}") for t in ("docs", "postings", "terms")))])
+        seg.withColumn("size_bytes", sizes[F.col("segment_id")]).coalesce(1).write.mode("errorifexists").partitionBy("segment_id").parquet(place("segments"))
+        segments = {k: v for k, v in state["segments"].items() if int(k) not in replaced} | {str(i): attempt for i in ids}
+        batches = state["batches"] | ({batch: ids} if batch is not None else {})
+        self.manifest.commit(version, state | {"segments": segments, "next": max(ids, default=first - 1) + 1, "batches": batches})
+        return ids
+
+    def _back(self, path: str, df: DataFrame, *by: str) -> DataFrame:
+        """What was written, read with its schema; a table without rows has no files to tell it."""
+        return self.spark.read.schema(df.select(*(c for c in df.columns if c not in by), *by).schema).parquet(path)
+
+    def _bytes(self, path: str) -> int:
+        """OP-A15: bytes of all files of a folder."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+    def table(self, name: str, segment_ids: list[int] | None = None) -> DataFrame:
+        """A table over the segments present, or some of them, with ``segment_id``."""
+        known = self.state()[1]["segments"]
+        ids = sorted(map(int, known)) if segment_ids is None else segment_ids
         if not ids:
             raise FileNotFoundError(f"no segment in {self.path}")
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/segment_id={i}" for i in ids))
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/attempt={known[str(i)]}/segment_id={i}" for i in ids)).drop("attempt")
 
     def num_docs(self) -> int:
         """OP-S8; 0 for an empty index."""
@@ -198,16 +236,26 @@ class Index:
         return len(self.segment_ids())
 
     def postings_of(self, terms: list[str]) -> DataFrame:
-        """OP-J1: postings of some terms. The buckets are worked out first, so that other directories are not read."""
+        """OP-J1, OP-B10: postings of some terms. The buckets are worked out first, so that other directories are not read."""
         terms = list(dict.fromkeys(terms))
         keys = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        buckets = [r[0] for r in keys.select(self._bucket()).distinct().collect()]
+        buckets = [r[0] for r in keys.select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
         return self.table("postings").where(F.col("term_bucket").isin(buckets) & F.col("term").isin(terms))
 
-    def drop(self, segment_ids: list[int]) -> None:
-        """Removes segments; their row in ``segments`` goes first, so that readers lose them at once."""
-        jvm = self.spark._jvm
-        for t in reversed(self.TABLES):
-            for i in segment_ids:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{t}/segment_id={i}")
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def doc_freq(self, terms: list[str]) -> DataFrame:
+        """OP-B10: (segment_id, term, df, max_tf, max_score) of some terms, from the terms table alone."""
+        return self.table("terms").where(F.col("term").isin(list(dict.fromkeys(terms))))
+
+    def purge(self) -> int:
+        """Deletes what no version of the manifest that is still kept names: leftovers of failed or replaced writes."""
+        kept = set(self.state()[1]["segments"].values())
+        gone = 0
+        for t in self.TABLES:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{t}")
+            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                name = s.getPath().getName()
+                if name.startswith("attempt=") and name.split("=")[1] not in kept:
+                    fs.delete(s.getPath(), True)
+                    gone += 1
+        return gone

@@ -226,31 +226,56 @@ def bm25_query_log(spark, d):
     return retrieve.bm25(documents(spark, d), q.select("qid", F.col("q_text").alias("text")), k=5)
 
 
-@query(_bm25("SELECT 0 AS qid, 'result page ranking' AS text", cols="doc_id, score, rank"))
-def index_search(spark, d):
-    """Search of a written index of four segments, reading only the buckets of the query's terms."""
+def _four_segments(spark, d):
     ix = index.Index(spark, fresh_path(spark, "index"), 8)
     docs = documents(spark, d, SEGMENTS)
     for i in range(SEGMENTS):
-        ix.add(docs.where(F.col("segment_id") == i), i)
+        ix.add(docs.where(F.col("segment_id") == i))
+    return ix
+
+
+@query(_bm25("SELECT 0 AS qid, 'result page ranking' AS text", cols="doc_id, score, rank"))
+def index_search(spark, d):
+    """Search of a written index of four segments, reading only the buckets of the query's terms."""
+    ix = _four_segments(spark, d)
     return retrieve.search_index(ix, "result page ranking").select("doc_id", "score", "rank")
 
 
 @query(f"WITH {_corpus()} SELECT (SELECT count(*) FROM n)::BIGINT AS num_docs, (SELECT count(DISTINCT term) FROM p)::BIGINT AS num_terms, (SELECT count(*) FROM p)::BIGINT AS total_postings, 1 AS merge_gen, 1 AS num_segments")
 def index_compaction(spark, d):
     """A written index of four segments merged into one."""
-    ix = index.Index(spark, fresh_path(spark, "index"), 8)
-    docs = documents(spark, d, SEGMENTS)
-    for i in range(SEGMENTS):
-        ix.add(docs.where(F.col("segment_id") == i), i)
+    ix = _four_segments(spark, d)
     compaction.compact(ix, max_per_tier=3, merge_factor=SEGMENTS)
     return ix.table("segments").select("num_docs", "num_terms", "total_postings", "merge_gen", F.lit(ix.num_segments()).alias("num_segments"))
 
 
+@query(_BATCH)
+def index_batch_topk(spark, d):
+    """The batch over a written index cut into segments by size, by bounds."""
+    ix = index.Index(spark, fresh_path(spark, "index"), 16)
+    ix.add(documents(spark, d), threshold=4_000_000)
+    return retrieve.search_many(ix, _items(spark, d), pruned=True).select("qid", "doc_id", "score", "rank")
+
+
+@query(f"WITH {_corpus()}, c AS (SELECT doc_id, dl, floor(coalesce(sum(24 * dl) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000000) AS s FROM n), "
+       "x AS (SELECT doc_id, s::INT AS segment_id, (row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1)::BIGINT AS local_id, dl FROM c) SELECT segment_id, doc_id, local_id, dl FROM x")
+def index_flush(spark, d):
+    """A batch written as segments of bounded size, with ids from 0 in each."""
+    ix = index.Index(spark, fresh_path(spark, "index"), 8)
+    ix.add(documents(spark, d), threshold=1_000_000)
+    return ix.table("docs").select("segment_id", "doc_id", "local_id", "dl")
+
+
+@query(f"WITH {_corpus(SEGMENTS)} SELECT segment_id, term, df, max_tf, round({_IDF} * {_norm('max_tf', 'greatest(1, min_dl)')}, 6) AS max_score FROM t JOIN g USING (segment_id) WHERE term IN ('index', 'query', 'the')")
+def index_doc_freq(spark, d):
+    """What a written index knows of three terms, from its terms table."""
+    return _four_segments(spark, d).doc_freq(["index", "query", "the"]).select("segment_id", "term", "df", "max_tf", F.round("max_score", 6).alias("max_score"))
+
+
 # near-duplicates
 
 _FP = (
-    r"w AS (SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{85}}\x{{1c}}-\x{{1f}}]+'), lambda x: x <> ''), 1, 200) AS ws FROM documents), "
+    r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{85}}\x{{1c}}-\x{{1f}}]+'), lambda x: x <> '') AS ws FROM documents), "
     "h AS (SELECT doc_id, ('0x' || substr(md5(u), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(ws) AS u FROM w)), "
     "v AS (SELECT doc_id, i, sum(((h >> i::UBIGINT) & 1)::INT * 2 - 1) AS s FROM h, range(64) r(i) GROUP BY ALL), "
     "x AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN (1::HUGEINT << i::INT) ELSE 0 END)::HUGEINT AS u FROM v GROUP BY 1), "
@@ -273,19 +298,19 @@ def simhash_bands(spark, d):
     return dedup.fingerprints(documents(spark, d)).select("doc_id", F.posexplode(bands(F.col("fp"), 8, 8)).alias("band", "val"))
 
 
-_FPD = _FP.format(text="substr(text, 1, 1000)")
+_FPD = _FP.format(text="text")
 
 
 @query("WITH " + _FPD + ", c AS (SELECT fp, min(doc_id) AS first FROM fp GROUP BY 1) SELECT a.first AS a, b.first AS b FROM c a JOIN c b ON a.first < b.first AND " + _HAM + " <= 3")
 def near_dup_pairs(spark, d):
     """Pairs of fingerprint classes, named by their first documents, that differ in at most three bits."""
-    return dedup.near_pairs(dedup.classes(dedup.fingerprints(documents(spark, d), chars=dedup.DEDUP_CHARS)))
+    return dedup.near_pairs(dedup.classes(dedup.fingerprints(documents(spark, d))))
 
 
 @query("WITH " + _FPD + " SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS class_id, count(*) OVER (PARTITION BY fp) AS class_size FROM fp")
 def near_dup_membership(spark, d):
     """Class of equal fingerprints of each document."""
-    f = cut(dedup.fingerprints(documents(spark, d), chars=dedup.DEDUP_CHARS))
+    f = cut(dedup.fingerprints(documents(spark, d)))
     return f.join(dedup.classes(f), "fp").select("doc_id", F.col("first").alias("class_id"), F.col("n").alias("class_size"))
 
 
@@ -323,7 +348,17 @@ def content_hash_check(spark, d):
     return j.groupBy("segment_id", kind.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query()
+_STRIPPED = r"regexp_replace(text, '^[\s\x{a0}\x{85}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{a0}\x{85}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')"
+_TAKEN = (
+    f"documents AS (SELECT rec_id AS doc_id, batch_id, t AS text FROM (SELECT rec_id, batch_id, {_STRIPPED} AS t FROM wet_documents WHERE url LIKE 'http%') WHERE length(t) >= 100), "
+    + _FP.format(text="text")
+    + ", k AS (SELECT list_reduce(list(list_value(fp) ORDER BY {order}), lambda a, x: CASE WHEN len(list_filter(a, lambda y: bit_count(xor(y, x[1])) <= 3)) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM fp JOIN documents USING (doc_id)), "
+    "f AS (SELECT doc_id, batch_id, text, list_contains(kept, fp) AND row_number() OVER (PARTITION BY fp ORDER BY {order}) = 1 AS own FROM fp JOIN documents USING (doc_id), k), "
+    f"i AS (SELECT doc_id, batch_id, {_TOKENS} AS tokens FROM f WHERE own)"
+)
+
+
+@query("WITH " + _TAKEN.replace("{order}", "doc_id") + " SELECT doc_id AS rec_id, len(tokens)::INT AS n_tokens FROM i WHERE len(tokens) >= 10")
 def ingest_filtered(spark, d):
     """Crawl records that an ingest would index."""
     return dedup.ingest(table(spark, d, "wet_documents").select("rec_id", "url", "text")).select("rec_id", "n_tokens")
@@ -373,12 +408,20 @@ def _recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return vectors.recall(found, truth).agg(F.count("*").alias("n_queries"), F.round(F.avg("recall"), 4).alias("recall"))
 
 
-@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_queries, TRUE AS reaches_090")
+@query(_KNN + "SELECT qid, vec_id, dist, rank FROM r WHERE rank <= 10")
+def hnsw_search(spark, d):
+    """Ten nearest vectors by kept graphs, built, written, loaded and searched with a wide beam."""
+    v = table(spark, d, "embeddings")
+    g = vectors.GraphIndex(spark, fresh_path(spark, "graphs"))
+    g.build(v)
+    return vectors.exact_again(g.search(_asked(v), 20, (400,)), v, _asked(v), 10)
+
+
+@query()
 def hnsw_recall(spark, d):
-    """Recall at ten of the graph search against exact neighbours."""
+    """Recall at ten of the graph search with a beam of 100 against exact neighbours."""
     v = table(spark, d, "embeddings")
-    r = _recall(vectors.hnsw_knn(v, _asked(v), 10, (100,)), vectors.knn(v, _asked(v), 10))
-    return r.select("n_queries", (F.col("recall") >= 0.9).alias("reaches_090"))
+    return _recall(vectors.hnsw_knn(v, _asked(v), 10, (100,)), vectors.knn(v, _asked(v), 10))
 
 
 @query()
@@ -392,20 +435,29 @@ def hnsw_ef_sweep(spark, d):
     return hit.select("ef", F.round(F.col("h") / F.greatest(F.lit(n), F.lit(1)), 4).alias("recall"))
 
 
-@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_queries, TRUE AS reaches_090")
+@query()
 def lsh_ann(spark, d):
     """Recall at ten of the hyperplane search against exact neighbours."""
     v = table(spark, d, "embeddings")
-    r = _recall(vectors.lsh_knn(v, _asked(v), 10), vectors.knn(v, _asked(v), 10))
-    return r.select("n_queries", (F.col("recall") >= 0.9).alias("reaches_090"))
+    return _recall(vectors.lsh_knn(v, _asked(v), 10), vectors.knn(v, _asked(v), 10))
 
 
-@query("SELECT vec_id, len(embedding)::INT AS n, TRUE AS close FROM embeddings")
+_HALF = (
+    "CASE WHEN abs(x) < 6.103515625e-5 THEN round_even(x::DOUBLE * 16777216, 0) / 16777216 "
+    "ELSE round_even(x::DOUBLE * pow(2, 10 - floor(log2(abs(x)::DOUBLE))), 0) / pow(2, 10 - floor(log2(abs(x)::DOUBLE))) END"
+)
+
+
+@query(
+    f"WITH h AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: {_HALF}) AS h FROM embeddings) SELECT vec_id, len(h)::INT AS n, round(list_sum(h), 9) + 0.0 AS h_sum, "
+    "round(list_max(list_transform(list_zip(embedding, h), lambda z: abs(z[1]::DOUBLE - z[2]))), 9) + 0.0 AS most_off FROM h"
+)
 def f16_roundtrip(spark, d):
-    """What 16-bit storage changes stays below a thousandth."""
+    """What is left of each vector in 16-bit storage: its sum, and how far a component moves at most."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.half_precision("embedding").alias("h"))
-    off = F.aggregate(F.zip_with("embedding", "h", lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: F.greatest(s, x))
-    return v.select("vec_id", F.size("embedding").alias("n"), (off < 1e-3).alias("close"))
+    off = F.aggregate(F.zip_with("embedding", "h", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    h_sum = F.aggregate("h", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return v.select("vec_id", F.size("embedding").alias("n"), (F.round(h_sum, 9) + 0.0).alias("h_sum"), (F.round(off, 9) + 0.0).alias("most_off"))
 
 
 # fusion
@@ -491,12 +543,12 @@ def merge_candidates(spark, d):
 
 
 @query(
-    f"WITH {_corpus(SEGMENTS)}, b AS (SELECT segment_id, num_docs, coalesce(sum(num_docs) OVER (ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM g WHERE segment_id IN (0, 2, 3)) "
+    f"WITH {_corpus(SEGMENTS)}, b AS (SELECT segment_id, num_docs, coalesce(sum(num_docs) OVER (ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM g) "
     "SELECT count(*) AS num_docs, sum(n.doc_id + base)::BIGINT AS id_sum, sum(dl)::BIGINT AS dl_sum FROM n JOIN b USING (segment_id)"
 )
 def merged_segment_stats(spark, d):
-    """Three of four segments put together, ids moved on."""
-    m = compaction.merged_docs(index.analyzed(documents(spark, d, SEGMENTS)).select("segment_id", "doc_id", "dl"), [0, 2, 3])
+    """Four segments put together, ids moved on."""
+    m = compaction.merged_docs(index.analyzed(documents(spark, d, SEGMENTS)).select("segment_id", "doc_id", "dl"), list(range(SEGMENTS)))
     return m.agg(F.count("*").alias("num_docs"), F.sum("doc_id").cast("long").alias("id_sum"), F.sum("dl").cast("long").alias("dl_sum"))
 
 
@@ -520,11 +572,7 @@ def write_amplification(spark, d):
 )
 def eval_ndcg_recall_map_p(spark, d):
     """Quality of the batch search; relevant are documents that hold the item word for word."""
-    items = _items(spark, d)
-    held = documents(spark, d).select("doc_id", F.col("text").alias("t"))
-    # The items are a fixed small table; their texts are looked for in every document.
-    qrels = held.join(F.broadcast(items), F.col("t").contains(F.col("text"))).select("qid", "doc_id", F.lit(1).alias("rel"))
-    return evaluate.ir_metrics(bm25_batch_topk(spark, d), qrels)
+    return evaluate.ir_metrics(bm25_batch_topk(spark, d), evaluate.holding(documents(spark, d), _items(spark, d)))
 
 
 _LAT = "WITH l AS (SELECT search_mode, list(latency_s ORDER BY latency_s) AS x FROM query_log WHERE latency_s IS NOT NULL {g}) "
@@ -554,32 +602,47 @@ def latency_histogram(spark, d):
 
 # log
 
+#: Each row of the log with ``good``: CRC-32 worked out byte by byte over a table of 256 numbers.
+_WAL = (
+    "b AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))), "
+    "h AS (SELECT *, lpad(hex(op), 2, '0') || lpad(hex(rec_id), 16, '0') AS head, coalesce(hex(payload), '') AS tail FROM (SELECT DISTINCT * FROM wal)), "
+    "e AS (SELECT seq, op, rec_id, payload, crc, substr(head, 1, 2) || list_aggregate(list_transform(range(8), lambda i: substr(head, (17 - 2 * i)::INT, 2)), 'string_agg', '') || tail AS x FROM h), "
+    "y AS (SELECT *, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT) AS bytes FROM e), "
+    "w AS (SELECT seq, op, rec_id, payload, crc, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, v: xor(a >> 8, tab[(xor(a, v) & 255) + 1])), 4294967295) AS own FROM y, b), "
+    "g AS (SELECT seq, op, rec_id, payload, own, coalesce(crc = own, FALSE) AS good FROM w), "
+    "s AS (SELECT DISTINCT seq, op, rec_id, payload, own FROM g WHERE good) "
+)
+_GOOD = "WITH " + _WAL + "SELECT seq, op, rec_id, payload FROM s"
 
-@query()
+
+@query(
+    "WITH " + _WAL + ", z AS (SELECT min(seq) AS bad FROM (SELECT seq FROM g GROUP BY 1 HAVING NOT bool_or(good))), o AS (SELECT s.* FROM s, z WHERE bad IS NULL OR seq < bad) "
+    "SELECT seq, op, rec_id, payload FROM o WHERE seq > coalesce((SELECT max(seq) FROM o WHERE op = 255), -1)"
+)
 def wal_replay_after_checkpoint(spark, d):
     """Log entries after the last checkpoint, up to the first damaged one."""
     return journal.replay(table(spark, d, "wal"))
 
 
-@query()
+@query(_GOOD)
 def wal_salvage(spark, d):
     """All undamaged log entries."""
     return journal.salvage(table(spark, d, "wal"))
 
 
-@query()
+@query("WITH " + _WAL + "SELECT op, good, count(*) AS n FROM g GROUP BY ALL")
 def wal_damaged(spark, d):
-    """Log rows by operation and state."""
-    return journal.checked(table(spark, d, "wal")).groupBy("op", "good").agg(F.count("*").alias("n"))
+    """Different log rows by operation and state."""
+    return journal.checked(table(spark, d, "wal").distinct()).groupBy("op", "good").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH " + _WAL + "SELECT seq, op, own AS crc, (sum(17 + coalesce(octet_length(payload), 0)) OVER (ORDER BY seq))::BIGINT AS \"offset\" FROM s")
 def wal_append(spark, d):
     """Checksums and byte offsets of the undamaged entries written anew."""
     return journal.appended(journal.salvage(table(spark, d, "wal"))).select("seq", "op", "crc", "offset")
 
 
-@query()
+@query("WITH " + _WAL + "SELECT rec_id FROM wet_documents WHERE rec_id NOT IN (SELECT rec_id FROM s WHERE op IN (1, 2) GROUP BY 1 HAVING arg_max(op, seq) = 2)")
 def wal_apply_deletes(spark, d):
     """Records left after the log's deletions."""
     return journal.applied(table(spark, d, "wet_documents").select("rec_id"), journal.salvage(table(spark, d, "wal")), "rec_id")
@@ -599,7 +662,7 @@ def wet_parse(spark, d):
     w = table(spark, d, "wet_documents").where("text IS NOT NULL AND url IS NOT NULL")
     sane = F.when(F.col("crawl_ts").between(0, 4_102_444_799), F.date_format(F.timestamp_seconds("crawl_ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("not a time")
     ids = w.select("rec_id", "url", "text", sane.alias("ts"), F.col("rec_id").alias("rec_no"), F.pmod(F.xxhash64("wet_file"), F.lit(16)).cast("int").alias("file_no"))
-    folder = fresh_path(spark, "wet").removeprefix("file:").replace("///", "/")
+    folder = fresh_path(spark, "wet")
     wet.write_wet(ids, folder)
     got = wet.to_documents(wet.read_wet(spark, folder), NOW)
     no = F.row_number().over(W.partitionBy("file_no").orderBy("rec_no")) - 1
@@ -608,7 +671,11 @@ def wet_parse(spark, d):
     return got.withColumn("file_no", file_no).join(key, ["file_no", "rec_no"]).select("rec_id", "url", F.length("text").alias("n_chars"), "crawl_ts")
 
 
-@query()
+@query(
+    "WITH " + _TAKEN.replace("{order}", "batch_id, doc_id") + ", u AS (SELECT * FROM i WHERE len(tokens) >= 10), t AS (SELECT DISTINCT batch_id, doc_id, unnest(tokens) AS term FROM u), "
+    "n AS (SELECT batch_id, count(*) AS num_docs FROM u GROUP BY 1), p AS (SELECT batch_id, count(DISTINCT term) AS num_terms, count(*) AS total_postings FROM t GROUP BY 1) "
+    "SELECT (row_number() OVER (ORDER BY batch_id) - 1)::INT AS segment_id, num_docs, num_terms, total_postings FROM n JOIN p USING (batch_id)"
+)
 def stream_ingest(spark, d):
     """Documents of each segment after a streaming ingest of the crawl's batches."""
     from tamarack.streaming.ingest import StreamIngest

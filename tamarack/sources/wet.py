@@ -1,17 +1,18 @@
-"""Crawl text files (WET): a data source with one partition for each file, and what surrounds a download."""
+"""Crawl text files (WET): reading, writing, and what surrounds a download, on any file system Hadoop knows."""
 
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tamarack.functions.text import epoch_seconds, strip
 
 SCHEMA = "file string, rec_no int, url string, ts string, body string"
+COLUMNS = ["file", "rec_no", "url", "ts", "body"]
 MIN_CHARS = 100
 
 
@@ -45,70 +46,92 @@ def records(stream) -> Iterator[dict[str, str]]:
         line = stream.readline()
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def discover(spark: SparkSession, path: str) -> list[str]:
+    """OP-S3: sorted ``*.warc.wet.gz`` of a folder on any file system, or ``*.wet.gz``, or ``*.wet`` if there are none; a file as it is."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    if fs.getFileStatus(p).isFile():
+        return [path]
+    known = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isFile())
+    for end in (".warc.wet.gz", ".wet.gz", ".wet"):
+        if found := [k for k in known if k.endswith(end)]:
+            return found
+    return []
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def _parsed(batches):
+    import pandas as pd
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+    for pdf in batches:
+        for path, raw in zip(pdf["path"], pdf["content"]):
+            stream = io.BytesIO(raw)
+            rows = []
+            for i, r in enumerate(records(gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream)):
+                rows.append((path, i, r["url"], r["ts"], r["body"]))
+                if len(rows) == 500:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows = []
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
-    def read(self, partition):
-        if partition is None:
-            return
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        with opener(partition.path, "rb") as f:
-            for i, r in enumerate(records(f)):
-                yield (partition.path, i, r["url"], r["ts"], r["body"])
 
+def read_wet(spark: SparkSession, path: str) -> DataFrame:
+    """OP-S4: raw records (file, rec_no, url, ts, body). A file is the unit of parallel work, as gzip cannot be split; its bytes come
+    through Spark's file source, so any file system will do. Records leave in batches, the packed file alone is held whole."""
+    files = discover(spark, path)
+    if not files:
+        return spark.createDataFrame([], SCHEMA)
+    # One task for each file, as its work is far more than its size.
+    raw = spark.read.format("binaryFile").load(files).select("path", "content").repartition(len(files), "path")
+    return raw.mapInPandas(_parsed, SCHEMA)
 
-class WetSource(DataSource):
-    """``spark.read.format("wet").load(folder or file)``: a file is the unit of parallel work, as gzip cannot be split."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "wet"
+def to_documents(raw: DataFrame, now: int, lang: str = "en") -> DataFrame:
+    """OP-S5, OP-F1, OP-F2, OP-T1: (file, rec_no, url, text, crawl_ts, lang) of web pages with enough text."""
+    d = raw.where(F.col("url").startswith("http")).withColumn("text", strip(F.col("body"))).where(F.length("text") >= MIN_CHARS)
+    return d.select("file", "rec_no", "url", "text", epoch_seconds(F.col("ts"), now).alias("crawl_ts"), F.lit(lang).alias("lang"))
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(discover(self.options["path"]))
+def manifest(spark: SparkSession, path: str, n_files: int) -> DataFrame:
+    """OP-S1: the first n paths of a manifest file, in its order, with the name of each; packed or not.
 
+    ``manifest_path`` names that of a crawl.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    return lines.orderBy("at").limit(n_files).select(F.trim("value").alias("path"), F.substring_index(F.trim("value"), "/", -1).alias("name"))
 
-def discover(path: str) -> list[str]:
-    """OP-S3: sorted ``*.warc.wet.gz`` of a folder, or ``*.wet.gz``, or ``*.wet`` if there are none; a file as it is."""
-    from pathlib import Path
 
-    p = Path(path.removeprefix("file:"))
-    if p.is_file():
-        return [str(p)]
-    for pattern in ("*.warc.wet.gz", "*.wet.gz", "*.wet"):
-        if found := sorted(str(x) for x in p.glob(pattern)):
-            return found
-    return []
+def manifest_path(base: str, crawl: str) -> str:
+    """Where a crawl keeps the list of its text files."""
+    return f"{base.rstrip('/')}/crawl-data/{crawl}/wet.paths.gz"
 
 
-def read_wet(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records (file, rec_no, url, ts, body)."""
-    spark.dataSource.register(WetSource)
-    return spark.read.format("wet").load(path)
+def fetch(spark: SparkSession, wanted: DataFrame, base: str, folder: str, threads: int = 8) -> list[str]:
+    """OP-S2: copies the files of a manifest (path, name) below ``base`` that the folder lacks; names of those copied.
 
+    Both sides are any file systems that Hadoop knows, http among them. A file is copied beside its place and then renamed, so
+    one cut short is copied again. Files are few and large; copies run side by side in threads.
+    """
+    from concurrent.futures import ThreadPoolExecutor
 
-def to_documents(raw: DataFrame, now: int, lang: str = "en") -> DataFrame:
-    """OP-S5, OP-F1, OP-F2, OP-T1: (file, rec_no, url, text, crawl_ts, lang) of web pages with enough text."""
-    d = raw.where(F.col("url").startswith("http")).withColumn("text", strip(F.col("body"))).where(F.length("text") >= MIN_CHARS)
-    return d.select("file", "rec_no", "url", "text", epoch_seconds(F.col("ts"), now).alias("crawl_ts"), F.lit(lang).alias("lang"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(conf)
+    fs.mkdirs(place)
+    have = {s.getPath().getName() for s in fs.listStatus(place)}
 
+    def one(row):
+        if row["name"] in have:
+            return None
+        src, made = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{row['path']}"), jvm.org.apache.hadoop.fs.Path(f"{folder}/.{row['name']}.part")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, fs, made, False, True, conf)
+        fs.rename(made, jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}"))
+        return row["name"]
 
-def manifest(spark: SparkSession, path: str, n_files: int) -> DataFrame:
-    """OP-S1: the first n paths of a manifest file, in its order, with the name of each."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
-    return lines.orderBy("at").limit(n_files).select(F.trim("value").alias("path"), F.substring_index(F.trim("value"), "/", -1).alias("name"))
+    with ThreadPoolExecutor(threads) as pool:
+        return [n for n in pool.map(one, wanted.toLocalIterator()) if n]
 
 
 def missing(wanted: DataFrame, present: DataFrame) -> DataFrame:
@@ -128,17 +151,20 @@ def wet_bytes(docs: list[dict]) -> bytes:
 
 
 def write_wet(df: DataFrame, folder: str) -> None:
-    """Writes (file_no, rec_no, url, ts, text) as one gzipped file for each file_no, in the tasks."""
-    from pathlib import Path
-
-    Path(folder).mkdir(parents=True, exist_ok=True)
-
-    def save(pdf):
-        import pandas as pd
-
-        name = f"{folder}/part-{int(pdf['file_no'].iloc[0]):05d}.warc.wet.gz"
-        with gzip.open(name, "wb") as f:
-            f.write(wet_bytes(pdf.sort_values("rec_no").to_dict("records")))
-        return pd.DataFrame({"name": [name]})
-
-    df.groupBy("file_no").applyInPandas(save, "name string").count()
+    """Writes (file_no, rec_no, url, ts, text) as one gzipped file of records for each file_no, in the tasks, on any file system."""
+    spark = df.sparkSession
+    head = F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: "), "url", F.lit("\r\nWARC-Date: "), "ts",
+        F.lit("\r\nContent-Length: "), F.octet_length("text").cast("string"), F.lit("\r\n\r\n"), "text",
+    )
+    out = df.repartition("file_no").sortWithinPartitions("file_no", "rec_no").select("file_no", head.alias("value"))
+    out.write.mode("errorifexists").partitionBy("file_no").option("compression", "gzip").option("lineSep", "\r\n\r\n").text(f"{folder}/_made")
+    jvm = spark._jvm
+    made = jvm.org.apache.hadoop.fs.Path(f"{folder}/_made")
+    fs = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in fs.listStatus(made):
+        name = d.getPath().getName()
+        for i, f in enumerate(fs.listStatus(d.getPath()) if name.startswith("file_no=") else []):
+            no = int(name.split("=")[1])
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{no:05d}{f'-{i}' if i else ''}.warc.wet.gz"))
+    fs.delete(made, True)

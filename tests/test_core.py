@@ -78,7 +78,7 @@ def test_pruned_equals_plain(spark):
 
 def test_index_search_compaction_deletes(spark, tmp_path):
     ix = index.Index(spark, f"{tmp_path}/ix", 4)
-    assert ix.num_docs() == 0 and ix.add(docs(spark, []).limit(0)) is None
+    assert ix.num_docs() == 0 and ix.add(docs(spark, []).limit(0)) == []
     assert retrieve.search_index(ix, "rust").count() == 0
     all_ = ["rust fast code", "rust and python", "python search", "gamma delta"]
     for i in range(4):
@@ -91,10 +91,51 @@ def test_index_search_compaction_deletes(spark, tmp_path):
     assert ix.segment_ids() == [sid] and ix.num_docs() == 3
     s = ix.table("segments").first()
     assert s["merge_gen"] == 1 and s["num_terms"] == 6 and s["total_postings"] == 8
-    assert compaction.compact(ix) is None
+    assert compaction.compact(ix) is None and ix.purge() > 0 and ix.num_docs() == 3
+    assert s["size_bytes"] > 0 and [r["df"] for r in ix.doc_freq(["rust"]).collect()] == [2]
+    assert ix.add(docs(spark, ["more"], 9)) == [sid + 1]  # ids are never given twice
     assert index.Index(spark, f"{tmp_path}/none").segment_ids() == []
 
 
+def test_two_writers(spark, tmp_path):
+    """Of two writers that start from the same state one fails, and its segment does not exist."""
+    a, b = (index.Index(spark, f"{tmp_path}/ix", 2) for _ in range(2))
+    version, state = b.state()
+    a.add(docs(spark, ["one text"]))
+    with pytest.raises(FileExistsError):
+        b.put(version, state, index.analyzed(docs(spark, ["xx yy"])).drop("tokens", "text").withColumn("local_id", F.lit(0)), index.postings(docs(spark, ["xx yy"])), 0)
+    assert b.num_docs() == 1
+
+
+def test_segments_by_size(spark, tmp_path):
+    ix = index.Index(spark, f"{tmp_path}/ix", 2)
+    texts = ["word " * 10] * 7 + [None]
+    assert ix.add(docs(spark, texts), threshold=480) == [0, 1, 2, 3]
+    got = [(r["segment_id"], r["local_id"]) for r in ix.table("docs").orderBy("doc_id").collect()]
+    assert got == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)]
+    assert retrieve.search_index(ix, "word").count() == 7
+
+
+def test_search_many_equals_plain(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(25)]
+    d = docs(spark, [" ".join(rng.choices(words, k=rng.randint(1, 30), weights=range(1, 26))) for _ in range(120)])
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(6)] + [(6, "w24 w23"), (7, "none")], "qid int, text string")
+    ix = index.Index(spark, f"{tmp_path}/ix", 2)
+    ix.add(d, threshold=10_000)
+    plain = {tuple(r) for r in retrieve.bm25(d, q, k=7).collect()}
+    assert {tuple(r) for r in retrieve.search_many(ix, q, k=7).drop("segment_id").collect()} == plain
+    assert {tuple(r) for r in retrieve.search_many(ix, q, k=7, pruned=True).drop("segment_id").collect()} == plain
+    assert {tuple(r) for r in retrieve.bm25_pruned(d, q, k=7).collect()} == plain
+
+
+def test_holding(spark):
+    d = docs(spark, ["say a b c d e f g h i j now", "xa b c d e f g h i jz", "a b c d  e f g h i j", "two words", None, "tw o"])
+    it = spark.createDataFrame([(0, "a b c d e f g h i j"), (1, "two words"), (2, ""), (3, None), (4, "b c d")], "qid int, text string")
+    assert {tuple(r)[:2] for r in evaluate.holding(d, it).collect()} == {(0, 0), (0, 1), (1, 3), (4, 0), (4, 1), (4, 2)}
+    assert evaluate.holding(d, it.limit(0)).count() == 0
+
+
 def test_segment_bases_and_lookup(spark):
     b = index.segment_bases(spark.createDataFrame([(2, 5), (0, 3), (1, 0)], "segment_id int, num_docs bigint"))
     assert {(r["segment_id"], r["base"]) for r in b.collect()} == {(0, 0), (1, 3), (2, 3)}
@@ -181,6 +222,19 @@ def test_knn_and_graph(spark):
     assert r.agg(F.avg("recall")).first()[0] > 0.9
     assert vectors.knn(v.limit(0), q, 3).count() == 0 and vectors.knn(v, q.limit(0), 3).count() == 0
     assert vectors.Graph(4).search([1, 0, 0, 0], 3) == []
+    g = vectors.Graph(8, half=False).build(range(200), m)
+    h = vectors.Graph.restored(g.dump())
+    same = lambda x, y: np.allclose([d for d, _ in x], [d for d, _ in y], atol=1e-5)
+    assert all(same(g.search(m[i], 5), h.search(m[i], 5)) for i in range(0, 200, 9)) and vectors.Graph.restored(vectors.Graph(4).build([], np.zeros((0, 4))).dump()).search([1, 0, 0, 0], 3) == []
+
+
+def test_graphs_are_kept(spark, tmp_path):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i), 1.0]) for i in range(60)] + [(99, None)], "vec_id bigint, embedding array<float>")
+    g = vectors.GraphIndex(spark, f"{tmp_path}/g")
+    assert not g.exists() and g.search(v.limit(2), 3).count() == 0
+    assert g.build(v, shards=3) == 60
+    again = vectors.GraphIndex(spark, f"{tmp_path}/g")
+    assert again.size() == 60 and again.search(v.where("vec_id < 5"), 4, (50,)).count() == 20
 
 
 def test_fusion_and_freshness(spark):
@@ -234,6 +288,61 @@ def test_journal(spark):
     assert journal.replay(journal.checkpoint_entry(spark, 9, 7).withColumn("crc", journal.entry_crc(F.col("op"), F.col("rec_id"), F.col("payload")))).count() == 0
 
 
+def test_log_files(spark, tmp_path):
+    log = journal.Log(spark, f"file://{tmp_path}/log")
+    assert log.replay().count() == 0
+    log.append([(1, 7, b"a"), (1, 8, b"")])
+    log.checkpoint(3)
+    log.append([(1, 9, "\u00e9".encode()), (2, 9, b"")])
+    again = journal.Log(spark, f"file://{tmp_path}/log")
+    assert [(r["op"], r["rec_id"]) for r in again.replay().orderBy("seq").collect()] == [(1, 9), (2, 9)]
+    assert again.truncate() == 1 and again.replay().count() == 2
+    n = again.append([(1, 10, b"xyz")])
+    file = tmp_path / "log" / f"{n:012d}.log"
+    file.write_bytes(file.read_bytes()[:-1])
+    (tmp_path / "log" / f".{n:012d}.log.crc").unlink(missing_ok=True)
+    assert again.replay().count() == 2  # a torn entry ends the replay
+
+
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from tamarack.plans import server
+    from tamarack.plans.engine import Engine, save_report
+
+    e = Engine(spark, f"{tmp_path}/ix", spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, embedding array<float>"), encoder=lambda q: [1.0, 0.1], now=5)
+    assert server.answer(e, "/search?q=x")[0] == 503
+    e.index.add(docs(spark, ["alpha beta", "gamma delta", "other words"]).withColumn("url", F.lit("http://u")))
+    s = server.server(e, 0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    body = json.load(urllib.request.urlopen(f"http://127.0.0.1:{s.server_address[1]}/search?q=alpha&k=2&mode=hybrid"))
+    s.shutdown()
+    assert body["results"][0]["doc_id"] == 0 and body["num_docs"] == 3
+    assert server.answer(e, "/search?q=x&k=0")[0] == server.answer(e, "/search?q=")[0] == 422 and server.answer(e, "/no")[0] == 404
+    assert server.answer(e, "/health")[1]["vectors"] == 2 and server.answer(e, "/metrics")[1]["searches"] == 1
+    save_report([{"a": 1}], f"{tmp_path}/r/x.json")
+    assert json.loads((tmp_path / "r" / "x.json").read_text()) == {"a": 1}
+
+
+def test_profile(spark, tmp_path):
+    from tamarack.plans import profile
+
+    ix = index.Index(spark, f"{tmp_path}/ix", 2)
+    d = docs(spark, [f"index merge number{i} query" for i in range(6)] + ["other words", "river"] * 8)
+    assert profile.amplification(ix, [d.where(F.col("doc_id") % 3 == i) for i in range(3)], max_per_tier=1, merge_factor=2)["write_amplification"] > 1
+    assert profile.latency(ix, 2, warm=0)["n_queries"] == 2
+    q = spark.createDataFrame([(0, "index number3"), (1, "river")], "qid int, text string")
+    assert profile.pruning(ix, q, 3)["rows_differing"] == 0
+    rel = spark.createDataFrame([(0, 3, 1)], "qid int, doc_id bigint, rel int")
+    assert profile.quality(ix, q, rel)[0]["recall"] == 1.0
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id bigint, embedding array<float>")
+    g = vectors.GraphIndex(spark, f"{tmp_path}/g")
+    g.build(v)
+    assert profile.beam_widths(g, v, v.where("vec_id < 3"), 5, (40,))[0]["recall"] == 1.0
+
+
 def test_wet(spark, tmp_path):
     import gzip
 
@@ -249,6 +358,12 @@ def test_wet(spark, tmp_path):
     m = wet.manifest(spark, str(tmp_path / "paths"), 2)
     have = spark.createDataFrame([("a.gz",)], "name string")
     assert [r["name"] for r in wet.missing(m, have).collect()] == ["b.gz"]
+    (tmp_path / "src" / "x").mkdir(parents=True)
+    for n in "ab":
+        (tmp_path / "src" / "x" / f"{n}.gz").write_text(n)
+    got = wet.fetch(spark, m, f"file://{tmp_path}/src", f"file://{tmp_path}/got")
+    assert sorted(got) == ["a.gz", "b.gz"] and wet.fetch(spark, m, f"file://{tmp_path}/src", f"file://{tmp_path}/got") == []
+    assert wet.read_wet(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def test_engine_and_stream(spark, tmp_path):
@@ -274,3 +389,9 @@ def test_engine_and_stream(spark, tmp_path):
     assert s.index.num_docs() == 6 and s.index.num_segments() == 2
     s.run(f"{tmp_path}/in", f"{tmp_path}/ck")
     assert s.index.num_segments() == 2
+    # A batch after a compaction leaves the merged segment alone, and a batch run again changes nothing.
+    assert compaction.compact(s.index, 1, 2) == 2 and s.index.num_docs() == 6
+    more = spark.createDataFrame([(9, "http://x/9", "an entirely other text " + " ".join(f"word{i}" for i in range(40)), 1, "en")], SCHEMA)
+    s.process(more, 2)
+    s.process(more, 2)
+    assert s.index.num_docs() == 7 and s.index.num_segments() == 2
