@@ -323,3 +323,19 @@ def body_cuts(df: DataFrame) -> DataFrame:
     """Problem 3: (rec_id, line_no) of the furniture of the pages that are prose."""
     p = quality(page_table(df, want_curves=False, want_lines=True)).where("rule = 0")
     return p.select("rec_id", F.explode("furniture").alias("line_no"))
+
+
+def bodies(df: DataFrame) -> DataFrame:
+    """Problem 3: (rec_id, body, n_cut): every record's text without its furniture, and the number of lines cut; blank lines stay only
+    between lines that do. A null text has a null body."""
+
+    def make(batch, kept):
+        lines = Lines(batch)
+        cut = np.flatnonzero(furniture.decode(lines) > 0)
+        gone = [set() for _ in range(batch.n)]
+        for d, k in zip(lines.doc[cut].tolist(), lines.no[cut].tolist()):
+            gone[d].add(k)
+        body = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in g).strip("\n") for t, g in zip(batch.texts, gone)]
+        return [kept[0], [None if null else x for null, x in zip(batch.null.tolist(), body)], [len(g) for g in gone]]
+
+    return mapped(df, "text", ["rec_id"], "rec_id bigint, body string, n_cut int", make)

@@ -41,6 +41,11 @@ def p3_found(spark, d):
     return pages.body_cuts(table(spark, d, "wet_documents"))
 
 
+def p3_bodies(spark, d):
+    """Every record's main body, whatever the page, and the number of lines cut."""
+    return pages.bodies(table(spark, d, "wet_documents"))
+
+
 def p5_found(spark, d):
     """rec_id of the pages that are no natural prose."""
     return pages.unprosaic_pages(table(spark, d, "wet_documents"))
@@ -56,6 +61,11 @@ def p4_found(spark, d):
     return repeated_lines.repeated_lines(table(spark, d, "wet_documents"))
 
 
+def p4_cleaned(spark, d):
+    """Every record's text without the chunks repeated in its site."""
+    return repeated_lines.cut_texts(table(spark, d, "wet_documents"))
+
+
 def p6_found(spark, d):
     """rec_id of the repetitive records."""
     return repetition.repetitive(table(spark, d, "wet_documents"))
@@ -83,6 +93,12 @@ def p7_languages(spark, d):
     )
 
 
+def p7_segments(spark, d):
+    """Stretches of content lines in another language than the record's, by characters."""
+    s = language.languages(table(spark, d, "wet_documents")).where("prose").select("rec_id", F.explode("segments").alias("s"))
+    return s.select("rec_id", "s.line_no", "s.start", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
 def p8_found(spark, d):
     """doc_id, item_id of leaked test items."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -125,7 +141,7 @@ def p10_restored(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_curves, p2_found, p2_batches, p3_found, p4_found, p5_found, p5_stats, p6_found, p6_shares, p6_ratios, p7_found, p7_languages, p8_found, p8_matches, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p1_found, p1_curves, p2_found, p2_batches, p3_found, p3_bodies, p4_found, p4_cleaned, p5_found, p5_stats, p6_found, p6_shares, p6_ratios, p7_found, p7_languages, p7_segments, p8_found, p8_matches, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', ''), '')"
@@ -149,7 +165,17 @@ _RATES = (
     "q AS (SELECT *, CASE WHEN tokens > 0 THEN least(target_weight * total / tokens, max_repeats::DOUBLE) ELSE 0 END AS rate FROM r), "
     "d AS (SELECT doc_id, s.source, s.tokens, (floor(rate) + (('0x' || substr(md5('mix-1:' || doc_id), 1, 8))::UBIGINT / 4294967296.0 < rate - floor(rate))::INT)::INT AS copies FROM s JOIN q USING (source)) "
 )
+_REPEATS = (
+    r"WITH t AS (SELECT rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM wet_documents WHERE text IS NOT NULL), "
+    "s AS (SELECT DISTINCT rec_id, unnest(CASE WHEN len(ws) < 5 THEN [hash(array_to_string(ws, ' '))] ELSE list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i+4], ' '))) END) AS h FROM t WHERE len(ws) > 0), "
+    "n AS (SELECT rec_id, count(*) AS n FROM s GROUP BY 1), "
+    "o AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS c FROM s x JOIN s y USING (h) WHERE x.rec_id < y.rec_id GROUP BY ALL), "
+    "p AS (SELECT a, b FROM o JOIN n x ON x.rec_id = a JOIN n y ON y.rec_id = b WHERE c >= 0.8::DOUBLE * greatest(x.n, y.n)) "
+    "SELECT a AS rec_id_a, b AS rec_id_b FROM p JOIN wet_documents w ON w.rec_id = b WHERE coalesce(w.batch_id, 0) > 0 AND a NOT IN (SELECT b FROM p)"
+)
 SQL: dict[str, str] = {
+    "p2_found": _REPEATS,
+    "p2_batches": _REPEATS,
     "p4_found": "WITH l AS (" + _LINES + r"), k AS (SELECT site, line FROM l WHERE regexp_matches(raw, '\p{L}') GROUP BY 1, 2 "
     "HAVING count(DISTINCT rec_id) >= 5 AND count(DISTINCT rec_id) >= 0.04 * (SELECT count(*) FROM wet_documents w WHERE " + _SITE + " IS NOT DISTINCT FROM l.site)) "
     r"SELECT l.rec_id, l.line_no::INT AS line_no FROM l JOIN k ON l.site IS NOT DISTINCT FROM k.site AND l.line = k.line WHERE regexp_matches(raw, '\p{L}')",

@@ -50,6 +50,9 @@ class Normal:
         letter = running((flags & LETTER) > 0)
         ok = (letter[e] > letter[s]) & (at[e] > at[s])
         self.s, self.e, self.doc, self.no = at[s][ok], at[e][ok], doc[ok], no[ok]
+        self.place = np.flatnonzero(keep)
+        """Of each normalised character, its place in the batch."""
+        self.line_start, self.line_end = s[ok], e[ok]
         self.v = v[keep]
         self.gear = tables()[2][self.v]
 
@@ -58,6 +61,11 @@ class Normal:
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Line, hash and first chunk of each line's chunks."""
+        line, starts, ends = self.cuts()
+        return line, span_hash(self.gear, starts, ends), np.flatnonzero(np.diff(np.concatenate([[-1], line])) > 0)
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, start and end of each chunk."""
         h = (self.gear >> np.uint64(32)).astype(np.uint32)
         for k in (1, 2, 4, 8):
             h[k:] = h[k:] + (h[:-k] << np.uint32(k)) if len(h) > k else h[k:]
@@ -69,7 +77,7 @@ class Normal:
         order = np.argsort(starts, kind="stable")
         starts, line = starts[order], line[order]
         ends = np.concatenate([np.minimum(starts[1:], self.e[line[:-1]]), self.e[-1:]])
-        return line, span_hash(self.gear, starts, ends), np.flatnonzero(np.diff(np.concatenate([[-1], line])) > 0)
+        return line, starts, ends
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -116,6 +124,13 @@ def with_site(df: DataFrame) -> DataFrame:
     return df.select("rec_id", "text", F.xxhash64(site_of(F.col("url"))).alias("site"))
 
 
+def often_chunks(df: DataFrame, min_docs: int, min_share: float) -> tuple[DataFrame, DataFrame]:
+    """(site, chunk) that stand in so many distinct documents of their site, and (site, least) of the sites."""
+    sites = df.groupBy("site").agg(F.greatest(F.lit(min_docs), F.ceil(F.round(F.count("*") * F.lit(min_share), 6))).alias("least"))
+    n = chunk_counts(df).groupBy("site", "chunk").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    return n.join(sites, "site").where("n >= least").select("site", "chunk"), sites
+
+
 def repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(rec_id, line_no) of every occurrence of a line that stands in at least ``min_docs`` records and in at least
     ``min_share`` of all records of its site.
@@ -124,11 +139,7 @@ def repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_share: float = M
     unique for the counts to be of records. An empty table gives no rows.
     """
     df = with_site(df)
-    sites = df.groupBy("site").agg(F.greatest(F.lit(min_docs), F.ceil(F.round(F.count("*") * F.lit(min_share), 6))).alias("least"))
-    often = (
-        chunk_counts(df).groupBy("site", "chunk").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-        .join(sites, "site").where("n >= least").select("site", "chunk")
-    )
+    often, sites = often_chunks(df, min_docs, min_share)
     from tamarack.plans.stage import written
 
     # The candidates are used twice, for the count and for the rows.
@@ -136,3 +147,36 @@ def repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_share: float = M
     per = near.select("site", "line", "rec_id").distinct().groupBy("site", "line").agg(F.count("*").alias("n"))
     lines = per.where(F.col("n") >= min_docs).join(sites, "site").where("n >= least").select("site", "line")
     return near.join(lines, ["site", "line"], "left_semi").select("rec_id", "line_no")
+
+
+def cut_texts(df: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(rec_id, text, n_cut): each record's text without the chunks repeated excessively in its site, and how many were cut.
+
+    A line of which all chunks go leaves no blank line behind; of other lines the rest stays, a sentence repeated inside longer lines goes
+    with the chunks that hold it. Null texts stay null with 0 cuts; rec_id must be unique. Every text is written once, and a record's own cuts meet it by its id.
+    """
+    d = with_site(df)
+    often, _ = often_chunks(d, min_docs, min_share)
+
+    def make(b, kept):
+        t = Normal(b)
+        if not len(t.s):
+            return [[], [], [], [], []]
+        site = kept[1].to_numpy(zero_copy_only=False)
+        line, starts, ends = t.cuts()
+        doc = t.doc[line]
+        last = np.concatenate([line[1:] != line[:-1], [True]])
+        first = np.concatenate([[True], last[:-1]])
+        a = np.where(first, t.line_start[line], t.place[starts])
+        z = np.where(last, t.line_end[line] + 1, t.place[np.minimum(ends, len(t.place) - 1)])
+        return [kept[0].take(doc), site[doc], _signed(span_hash(t.gear, starts, ends)), a - b.start[doc], z - b.start[doc]]
+
+    spans = mapped(d, "text", ["rec_id", "site"], "rec_id bigint, site bigint, chunk bigint, a int, z int", make)
+    spans = spans.join(often, ["site", "chunk"], "left_semi").groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("cuts"))
+    j = df.select("rec_id", "text").join(spans, "rec_id", "left")
+    # What stands between the cuts, in order; the last piece may end with the line feed before a cut line.
+    kept = F.expr(
+        "aggregate(cuts, struct('' AS t, 0 AS at), (s, c) -> struct(concat(s.t, substring(text, s.at + 1, greatest(c.a - s.at, 0))) AS t, greatest(s.at, c.z) AS at), "
+        "s -> concat(s.t, substring(text, s.at + 1)))"
+    )
+    return j.select("rec_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.rtrim(kept, F.lit("\n"))).alias("text"), F.coalesce(F.size("cuts"), F.lit(0)).alias("n_cut"))

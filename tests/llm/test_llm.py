@@ -219,6 +219,19 @@ def test_repeated_lines_against_brute_force(spark):
     assert {tuple(r) for r in repeated_lines.repeated_lines(d).collect()} == want
 
 
+def test_cut_texts(spark):
+    own = [f"First line of {x * 5} and nothing else.\nShare this!\nLast words {x * 3} of it, quite alone" for x in "abcdefghi"]
+    d = wet(spark, [*own, None, "Share this"])
+    got = {r["rec_id"]: (r["text"], r["n_cut"]) for r in repeated_lines.cut_texts(d, 5, 0.2).collect()}
+    assert got[9] == (None, 0) and got[10][0] == "" and all(got[i][0] == own[i].replace("Share this!\n", "") for i in range(9) if got[i][1] == 1)
+    assert got[0][1] == 1 and len(got) == 11
+
+
+def test_bodies(spark):
+    got = {r["rec_id"]: r for r in pages.bodies(wet(spark, [PAGE, None, ""])).collect()}
+    assert got[0]["body"].startswith("The harbour office") and got[0]["body"].endswith("the morning shift.") and got[1]["body"] is None and got[2]["n_cut"] == 0
+
+
 def test_repetition_against_brute_force(spark):
     rng = np.random.default_rng(8)
     texts = []
