@@ -605,7 +605,7 @@ def latency_histogram(spark, d):
 #: Each row of the log with ``good``: CRC-32 worked out byte by byte over a table of 256 numbers.
 _WAL = (
     "b AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))), "
-    "h AS (SELECT *, lpad(hex(op), 2, '0') || lpad(hex(rec_id), 16, '0') AS head, coalesce(hex(payload), '') AS tail FROM (SELECT DISTINCT * FROM wal)), "
+    "h AS (SELECT *, lpad(hex(op), 2, '0') || lpad(hex(rec_id), 16, '0') AS head, coalesce(hex(payload), '') AS tail FROM wal), "
     "e AS (SELECT seq, op, rec_id, payload, crc, substr(head, 1, 2) || list_aggregate(list_transform(range(8), lambda i: substr(head, (17 - 2 * i)::INT, 2)), 'string_agg', '') || tail AS x FROM h), "
     "y AS (SELECT *, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT) AS bytes FROM e), "
     "w AS (SELECT seq, op, rec_id, payload, crc, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, v: xor(a >> 8, tab[(xor(a, v) & 255) + 1])), 4294967295) AS own FROM y, b), "
@@ -632,8 +632,8 @@ def wal_salvage(spark, d):
 
 @query("WITH " + _WAL + "SELECT op, good, count(*) AS n FROM g GROUP BY ALL")
 def wal_damaged(spark, d):
-    """Different log rows by operation and state."""
-    return journal.checked(table(spark, d, "wal").distinct()).groupBy("op", "good").agg(F.count("*").alias("n"))
+    """Log rows by operation and state."""
+    return journal.checked(table(spark, d, "wal")).groupBy("op", "good").agg(F.count("*").alias("n"))
 
 
 @query("WITH " + _WAL + "SELECT seq, op, own AS crc, (sum(17 + coalesce(octet_length(payload), 0)) OVER (ORDER BY seq))::BIGINT AS \"offset\" FROM s")
