@@ -21,7 +21,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarack.llm.arrays import TextBatch, mapped, mix
@@ -37,6 +36,8 @@ NEAREST = SIMILAR / (2 - SIMILAR)
 HOT, ROUNDS = 64, 6
 BROADCAST_IDS = 400_000
 """Ids up to this number are broadcast to pick entries; beyond it the entries are shuffled."""
+FREQUENCIES = 1 << 20
+"""Hash classes by which the rarity of shingles is told."""
 SLOT_ROWS, MOST_SLOTS = 1_000_000, 256
 """Rows a slot of a run should hold, and the most slots of a tree."""
 
@@ -141,23 +142,26 @@ class Forest:
 
     # candidates
 
-    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Different pairs (a, b), a < b and b new, of the same bucket whose sizes allow the similarity."""
-        x = left.select("tree", "prefix", F.col("rec_id").alias("x"), F.col("n").alias("xs"), F.col("is_new").alias("xn"))
-        y = right.select("tree", "prefix", F.col("rec_id").alias("y"), F.col("n").alias("ys"), F.col("is_new").alias("yn"))
-        p = x.join(y, ["tree", "prefix"]).where(f"x <> y AND CASE WHEN x < y THEN yn ELSE xn END AND least(xs, ys) >= {SIMILAR}D * greatest(xs, ys)")
-        return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def _pairs(self, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+        """Different pairs (a, b), a < b, b new and one of them open, of the same bucket, whose sizes allow the similarity.
+
+        Without ``right`` all pairs of ``left`` are meant.
+        """
+        side = lambda d, c: d.select("tree", "prefix", *(F.col(k).alias(c + k) for k in ("rec_id", "n", "is_new", "is_open")))
+        j = side(left, "x").join(side(left if right is None else right, "y"), ["tree", "prefix"])
+        order = "xrec_id < yrec_id AND yis_new" if right is None else "xrec_id <> yrec_id AND CASE WHEN xrec_id < yrec_id THEN yis_new ELSE xis_new END"
+        p = j.where(f"{order} AND (xis_open OR yis_open) AND least(xn, yn) >= {SIMILAR}D * greatest(xn, yn)")
+        return p.select(F.least("xrec_id", "yrec_id").alias("a"), F.greatest("xrec_id", "yrec_id").alias("b")).distinct()
 
     def _met(self, members: DataFrame, store: DataFrame, last: bool = False) -> DataFrame:
         """Verified pairs (a, b) that share a bucket. members: tree, prefix, rec_id, n, is_new, is_open.
 
-        A pair of two entries that are not open is not looked at. ``last``: rounds go on until nothing is open.
+        A pair of two entries that are not open is not looked at. ``last``: rounds go on until no bucket has many open entries.
         """
         bucket = ["tree", "prefix"]
         size = members.groupBy(*bucket).agg(F.count("*").alias("m"), F.max("is_new").alias("any_new"), F.max("is_open").alias("any_open"))
         kept = written(members.join(size.where("m > 1 AND any_new AND any_open").select(*bucket, "m"), bucket), "members")
-        small = kept.where(F.col("m") <= self.hot)
-        found = self._verify(store, self._pairs(small, small.where("is_new")).unionByName(self._pairs(small.where("is_open"), small)).distinct() if last else self._pairs(small, small.where("is_new")))
+        found = self._verify(store, self._pairs(kept.where(F.col("m") <= self.hot)))
         hot = kept.where(F.col("m") > self.hot)
         if hot.isEmpty():
             return found
@@ -165,30 +169,56 @@ class Forest:
         open_ = hot.where("is_open").join(found.select(F.col("b").alias("rec_id")).distinct(), "rec_id", "left_anti")
         done = 0
         while True:
-            per = open_.groupBy(*bucket).agg(F.count("*").alias("c"), F.min("rec_id").alias("rec_id"))
-            lead = written(open_.join(per.where(F.col("c") > (0 if last else self.hot)).select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_semi"), "leads")
-            if lead.isEmpty():
+            per = open_.groupBy(*bucket).agg(F.count("*").alias("c"), F.min("rec_id").alias("rec_id")).where(F.col("c") > self.hot)
+            lead = written(open_.join(per.select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_semi"), "leads")
+            if lead.isEmpty() or done == self.rounds and not last:
                 break
-            if done == self.rounds and not last:
-                sub = self._by_rare_shingles(hot, open_, store)
-                return found.unionByName(self._met(sub, store, True)).distinct()
             got = self._verify(store, self._pairs(lead, hot))
             found = written(found.unionByName(got).distinct(), "found")
             settled = got.select(F.col("b").alias("rec_id")).distinct()
             open_ = written(open_.join(lead.select(*bucket, "rec_id"), [*bucket, "rec_id"], "left_anti").join(settled, "rec_id", "left_anti"), "open")
             done += 1
-        rest = open_ if not last else open_.limit(0)
-        return found.unionByName(self._verify(store, self._pairs(rest, hot))).distinct()
+        if not lead.isEmpty():
+            many = lead.select(*bucket).distinct()
+            sub = self._by_rare_shingles(hot.join(many, bucket, "left_semi"), open_.join(many, bucket, "left_semi"), store)
+            found = found.unionByName(self._met(sub, store, True))
+            open_ = open_.join(many, bucket, "left_anti")
+        # At most ``hot`` open entries a bucket are left, each against all of it.
+        return found.unionByName(self._verify(store, self._pairs(open_, hot))).distinct()
 
     def _by_rare_shingles(self, hot: DataFrame, open_: DataFrame, store: DataFrame) -> DataFrame:
-        """The entries of hot buckets as members of a bucket for each of their rarest shingles."""
+        """The entries of hot buckets as members of a bucket for each of their rarest shingles.
+
+        Any fixed order of the shingles will do; this one goes by how often a shingle's hash class occurs among these entries. The classes
+        are FREQUENCIES many, whatever the corpus, so the order is known in every task and nothing is shuffled for it.
+        """
         ids = hot.groupBy("rec_id").agg(F.max("n").alias("n"), F.max("is_new").alias("is_new"))
         ids = ids.join(open_.select("rec_id").distinct().withColumn("is_open", F.lit(True)), "rec_id", "left").fillna(False, ["is_open"])
-        long = written(store.join(ids, "rec_id").select("rec_id", "n", "is_new", "is_open", F.explode("shingles").alias("s")), "shingles")
-        often = long.groupBy("s").agg(F.count("*").alias("f"))
-        w = W.partitionBy("rec_id").orderBy("f", "s")  # one record's shingles
-        rare = long.join(often, "s").withColumn("r", F.row_number().over(w)).where(f"r <= n - ceil({SIMILAR}D * n) + 1")
-        return rare.select(F.lit(-1).alias("tree"), F.col("s").cast("long").alias("prefix"), "rec_id", "n", "is_new", "is_open")
+        ids = written(ids, "hot-ids")
+        held = written(self._pick(store, ids.select("rec_id")).join(ids, "rec_id"), "hot-entries")
+        often = held.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(FREQUENCIES)).alias("k")).count().toPandas()
+        table = np.zeros(FREQUENCIES, np.int64)
+        table[often["k"].to_numpy(np.int64)] = often["count"].to_numpy(np.int64)
+        known = self.spark.sparkContext.broadcast(table)
+
+        def rare(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                lists = b.column("shingles")
+                s = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((s, known.value[s % FREQUENCIES], row))
+                place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+                least = size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1
+                pick = place < least[row]
+                at = pa.array(row[pick])
+                cols = [b.column(c).take(at) for c in ("rec_id", "n", "is_new", "is_open")]
+                yield pa.RecordBatch.from_arrays([pa.array(s[order][pick], pa.int64()), *cols], ["prefix", "rec_id", "n", "is_new", "is_open"])
+
+        out = held.select("rec_id", "n", "is_new", "is_open", "shingles").mapInArrow(rare, "prefix bigint, rec_id bigint, n int, is_new boolean, is_open boolean")
+        return out.withColumn("tree", F.lit(-1))
 
     def _pick(self, table: DataFrame, ids: DataFrame) -> DataFrame:
         """Rows of ``table`` with these ids, without a shuffle of the table where the ids are few."""
@@ -213,7 +243,7 @@ class Forest:
         batch without entries adds no run.
         """
         run = {"name": f"run-{self.version:06d}-{uuid.uuid4().hex[:8]}"}
-        new = self._save(entries(batch.where("rec_id IS NOT NULL")), "raw", run)
+        new = self._save(entries(batch.where("rec_id IS NOT NULL")), "entries", run)
         figures = new.agg(F.count("*").alias("n"), F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")).first()
         if not figures["n"]:
             return self.spark.createDataFrame([], "rec_id_a bigint, rec_id_b bigint")
@@ -223,17 +253,17 @@ class Forest:
         known = self._read("classes", _KNOWN)
         head = new.groupBy("h", "n_words").agg(F.min("rec_id").alias("rec_id"))
         classes = self._save(head.join(known, ["h", "n_words"], "left_anti").select("h", "n_words", "rec_id"), "classes", run)
-        heads_of = new.join(classes.select("rec_id"), "rec_id", "left_semi")
+        # Signatures of class heads; shingles stay where they are until a pair asks for them.
+        heads_of = new.select("rec_id", "keys", F.size("shingles").alias("n")).join(classes.select("rec_id"), "rec_id", "left_semi")
         # Slots are ranges of the leading bits; a power of two, so that slots of runs of any size nest.
         slots = 1
         while slots < MOST_SLOTS and slots * SLOT_ROWS < figures["n"]:
             slots *= 2
         run["slots"] = slots
         bits = BITS * LEVELS - (slots.bit_length() - 1)
-        tree = heads_of.select("rec_id", F.size("shingles").alias("n"), F.posexplode("keys").alias("tree", "key"))
+        tree = heads_of.select("rec_id", "n", F.posexplode("keys").alias("tree", "key"))
         tree = tree.withColumn("slot", F.col("tree") * slots + F.shiftright("key", bits).cast("int"))
         tree = self._save(tree.repartitionByRange("slot", "key").sortWithinPartitions("slot", "key"), "trees", run, "slot")
-        self._save(heads_of.select("rec_id", "shingles"), "entries", run)
         shift = BITS * (LEVELS - depth())
         prefixed = lambda t: t.select("tree", F.shiftright("key", shift).alias("prefix"), "rec_id", "n")
         members = prefixed(tree).withColumns({"is_new": F.lit(True), "is_open": F.lit(True)})
@@ -247,9 +277,9 @@ class Forest:
                 part = prefixed(self._read("trees", runs=[r]).where(F.col("slot").isin(wanted)))
                 old = part if old is None else old.unionByName(part)
             few = hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-            old = old.join(F.broadcast(hit) if few else hit, ["tree", "prefix"], "left_semi")
+            old = written(old.join(F.broadcast(hit) if few else hit, ["tree", "prefix"], "left_semi"), "hits")
             members = members.unionByName(old.withColumns({"is_new": F.lit(False), "is_open": F.lit(True)}))
-        store = self._read("entries", runs=[*self.runs, run])
+        store = self._read("entries", runs=[*self.runs, run]).select("rec_id", "shingles")
         similar = self._met(members, store)
         later = similar.select(F.col("b").alias("rec_id")).distinct()
         verdict = classes.select("rec_id").join(later.withColumn("hit", F.lit(True)), "rec_id", "left").select("rec_id", F.col("hit").isNull().alias("original"))
@@ -264,7 +294,6 @@ class Forest:
         via = member.join(heads.select(F.col("a").alias("rec_id_a"), F.col("b").alias("head")), "head")
         out = self._save(same.select(F.col("head").alias("rec_id_a"), "rec_id_b").unionByName(via.select("rec_id_a", "rec_id_b")), "results", run)
         self._commit([*self.runs, run])
-        remove(self.spark, f"{self.folder}/raw/{run['name']}")
         return out
 
     def _commit(self, runs: list[dict]) -> None:
