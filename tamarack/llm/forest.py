@@ -33,7 +33,7 @@ SIMILAR = 0.8
 RECALL = 0.99
 NEAREST = SIMILAR / (2 - SIMILAR)
 """Jaccard similarity for which RECALL is asked: the least that two texts with SIMILAR in common can have."""
-HOT, ROUNDS = 64, 6
+HOT, ROUNDS = 64, 2
 BROADCAST_IDS = 400_000
 """Ids up to this number are broadcast to pick entries; beyond it the entries are shuffled."""
 FREQUENCIES = 1 << 20
@@ -228,6 +228,8 @@ class Forest:
     def _verify(self, store: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs that share at least SIMILAR of the longer text's shingles."""
         p = written(pairs, "met")
+        if p.isEmpty():
+            return p
         ids = written(p.select(F.col("a").alias("rec_id")).union(p.select(F.col("b").alias("rec_id"))).distinct(), "ids")
         full = written(self._pick(store, ids), "picked")
         p = p.join(full.select(F.col("rec_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
