@@ -7,7 +7,7 @@ knows no runs); the raw corpus is all records. A record's log-likelihood ratio b
 far it departs from unrepetitive text. Below zero it is nearer to the raw corpus: the threshold is fixed there and applied to
 every record. The exact share of repeated words, from the same pass, then confirms the cases among the records the ratio picks.
 A record with two fifths of repeated words has at least one recurring run of eight in twenty places, each worth several
-nats against it, so it falls below zero.
+nats against it where the trusted records hardly repeat; where most records of a length do, the ratio can miss some.
 """
 
 from __future__ import annotations
