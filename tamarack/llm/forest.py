@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm.arrays import TextBatch, mapped, mix
@@ -112,6 +112,8 @@ def entries(df: DataFrame) -> DataFrame:
 _PAIR = "a bigint, b bigint"
 _STORE = "rec_id bigint, shingles array<int>"
 _KNOWN = "h bigint, n_words int, rec_id bigint"
+_TREE = "rec_id bigint, n int, tree int, key bigint, slot int"
+"""A run of trees without entries has no file that would tell its columns: that of a batch of nothing but copies."""
 
 
 class Forest:
@@ -128,7 +130,8 @@ class Forest:
         runs = self.runs if runs is None else runs
         if not runs:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.parquet(f"{self.folder}/{what}/{r['name']}") for r in runs]
+        reader = self.spark.read.schema(_TREE) if what == "trees" else self.spark.read
+        parts = [reader.parquet(f"{self.folder}/{what}/{r['name']}") for r in runs]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -138,7 +141,7 @@ class Forest:
         path = f"{self.folder}/{what}/{run['name']}"
         w = df.write.mode("errorifexists")
         (w.partitionBy(by) if by else w).parquet(path)
-        return self.spark.read.parquet(path) if by else self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     # candidates
 
@@ -319,30 +322,59 @@ class Forest:
                 remove(self.spark, f"{self.folder}/{what}/{r['name']}")
 
 
+def _in_order(df: DataFrame, batch: Column) -> tuple[list[tuple[int, DataFrame]], bool]:
+    """The records as a forest can take them: (batch, records) with rec_ids that grow from one to the next, and whether batches mix.
+
+    Where a batch has rec_ids above some of a later batch, the records from there on come with the later one. Batches are few: their
+    numbers come to the driver.
+    """
+    of = df.where("rec_id IS NOT NULL").groupBy(batch.alias("k")).agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi"))
+    parts, mixed, before = [], False, None
+    for k, lo, hi in sorted(map(tuple, of.collect()), reverse=True):
+        mixed |= before is not None and hi >= before
+        if before is None or lo < before:
+            parts.append((k, df.where(F.col("rec_id") >= lo if before is None else F.col("rec_id").between(lo, before - 1))))
+            before = lo
+    return parts[::-1], mixed
+
+
+def _of_new(pairs: DataFrame, df: DataFrame, batch: Column, mixed: bool) -> DataFrame:
+    """The pairs whose b is of a batch above 0; it always is where batches do not mix."""
+    if not mixed:
+        return pairs
+    new = df.where(batch > 0).select(F.col("rec_id").alias("rec_id_b"))
+    return pairs.join(new, "rec_id_b", "left_semi").select("rec_id_a", "rec_id_b")
+
+
 def repeats(df: DataFrame, folder: str | None = None) -> DataFrame:
     """(rec_id_a, rec_id_b) of the records in batches above 0 that repeat an earlier one.
 
-    History (batch 0 and rows without a batch) is accepted first, the new batches after it.
+    History (batch 0 and rows without a batch) is accepted first, the new batches after it; history that arrived after a new record comes with those.
     """
     forest = Forest(df.sparkSession, folder)
-    old = F.coalesce("batch_id", F.lit(0)) <= 0
-    forest.add(df.where(old))
-    return forest.add(df.where(~old))
+    batch = (F.coalesce("batch_id", F.lit(0)) > 0).cast("int")
+    parts, mixed = _in_order(df, batch)
+    out = df.sparkSession.createDataFrame([], "rec_id_a bigint, rec_id_b bigint")
+    for k, part in parts:
+        got = forest.add(part)
+        out = got if k else out
+    return _of_new(out, df, batch, mixed)
 
 
 def batch_by_batch(df: DataFrame, folder: str | None = None, merge_after: int = 3) -> DataFrame:
     """The same, each batch by a forest opened anew from the folder; every ``merge_after`` batches the runs are merged.
 
-    Batches are few: their numbers come to the driver. Results of a batch do not depend on those after it.
+    Results of a batch do not depend on those after it.
     """
     spark = df.sparkSession
     folder = folder or fresh_path(spark, "forest")
     batch = F.greatest(F.coalesce("batch_id", F.lit(0)), F.lit(0))
     out = spark.createDataFrame([], "rec_id_a bigint, rec_id_b bigint")
-    for i, k in enumerate(sorted(r[0] for r in df.select(batch.alias("k")).distinct().collect())):
+    parts, mixed = _in_order(df, batch)
+    for i, (k, part) in enumerate(parts):
         forest = Forest(spark, folder)
-        got = forest.add(df.where(batch == k))
+        got = forest.add(part)
         out = out.unionByName(got) if k else out
         if (i + 1) % merge_after == 0:
             forest.merge_runs()
-    return out
+    return _of_new(out, df, batch, mixed)
