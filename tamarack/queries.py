@@ -223,7 +223,7 @@ def bm25_pruned(spark, d):
 def bm25_query_log(spark, d):
     """Five best documents of every different text of the query log; equal texts are searched once."""
     q = table(spark, d, "query_log").where("q_text IS NOT NULL").groupBy("q_text").agg(F.min("query_id").alias("qid"))
-    return retrieve.bm25(documents(spark, d), q.select("qid", F.col("q_text").alias("text")), k=5)
+    return retrieve.bm25_many(documents(spark, d), q.select("qid", F.col("q_text").alias("text")), k=5)
 
 
 def _four_segments(spark, d):
