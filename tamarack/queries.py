@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import codec
 from tamarack.functions.text import epoch_seconds, tokens, xxh64
 from tamarack.operators import compaction, dedup, evaluate, fusion, index, journal, retrieve, vectors
-from tamarack.plans.stage import cut, fresh_path
+from tamarack.plans.stage import cut, fresh_path, written
 
 NOW = 1_740_787_200
 SEGMENTS = 4
@@ -681,9 +681,11 @@ def stream_ingest(spark, d):
     from tamarack.streaming.ingest import StreamIngest
 
     src, ix, ck = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-index"), fresh_path(spark, "stream-log")
-    w = table(spark, d, "wet_documents").select("rec_id", "url", "text", "crawl_ts", "lang", "batch_id")
+    w = table(spark, d, "wet_documents").select("rec_id", "url", "text", "crawl_ts", "lang", "batch_id").where("batch_id IS NOT NULL")
+    w = written(w, "batches", ["batch_id"])  # the table is read once; a batch below reads its own files
     for b in [r[0] for r in w.select("batch_id").distinct().orderBy("batch_id").collect()]:  # a few batches
-        w.where(F.col("batch_id") == b).drop("batch_id").coalesce(1).write.mode("append").parquet(src)
+        # One file a batch, of small row groups, so that the stream reads it in several tasks.
+        w.where(F.col("batch_id") == b).drop("batch_id").coalesce(1).write.mode("append").option("parquet.block.size", 4 << 20).parquet(src)
     s = StreamIngest(spark, ix, buckets=8)
     s.run(src, ck)
     return s.index.table("segments").select("segment_id", "num_docs", "num_terms", "total_postings")
